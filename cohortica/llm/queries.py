@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortica.llm import lang_id, license_scan, line_dedup, mixing, ngram_join, sp_codec, url_filter
+from cohortica.llm import ann, embedding_dedup, lang_id, license_scan, line_dedup, mixing, ngram_join, sp_codec, substring_dedup, url_filter
 
 #: The rules of the url query: (action, host, path).
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -26,11 +26,23 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_read(spark, sf_dir, "documents").select("doc_id", "text"), window=35, digests_only=True)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, url_filter.rules_frame(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_embeddings(_read(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_embeddings(_read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(_read(spark, sf_dir, "documents"), jaccard=0.9, width=3)
 
@@ -51,7 +63,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_line_dedup": op2_line_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_url_filter": op4_url_filter,
+        "op5_embedding_dedup": op5_embedding_dedup,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_ngram_join": op7_ngram_join,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_language_id": op9_language_id,
@@ -59,6 +74,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS passage FROM p),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY passage) AS n FROM h) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM r),
+l AS (SELECT doc_id, list(k) AS gone FROM g GROUP BY doc_id),
+s AS (SELECT doc_id, k, w[k] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+m AS (SELECT s.doc_id, string_agg(word, ' ' ORDER BY s.k) AS kept FROM s ANTI JOIN g ON s.doc_id = g.doc_id AND s.k = g.k GROUP BY s.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+EMBEDDING_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+t(id, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT t.id, l.b FROM t JOIN l ON t.reached = l.a),
+c AS (SELECT id, min(reached) AS component_id FROM t GROUP BY id),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON v.vec_id = c.id LEFT JOIN k ON v.vec_id = k.a
+"""
+
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS x FROM d),
+e AS (SELECT doc_id, CAST(len(x) AS BIGINT) AS n, unnest(x) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS both_have FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * both_have >= 90 * (na + nb - both_have)),
+t(id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT t.id, l.b FROM t JOIN l ON t.reached = l.a)
+SELECT s.doc_id, CAST(len(x) AS BIGINT) AS n_shingles, min(reached) AS component_id FROM s JOIN t ON s.doc_id = t.id GROUP BY ALL
+"""
+
 LINE_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 h AS (SELECT doc_id, lines, list_transform(lines, lambda x: md5(x)) AS hs FROM d WHERE text IS NOT NULL),
@@ -101,4 +149,11 @@ SELECT doc_id, size, source_size, target, CAST(size * coalesce(passes, 0) AS BIG
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL, "op4_url_filter": URL_SQL, "op10_source_mix": MIX_SQL}
+    return {
+        "op2_line_dedup": LINE_DEDUP_SQL,
+        "op3_substring_dedup": SUBSTRING_SQL,
+        "op4_url_filter": URL_SQL,
+        "op5_embedding_dedup": EMBEDDING_SQL,
+        "op7_ngram_join": JACCARD_SQL,
+        "op10_source_mix": MIX_SQL,
+    }
