@@ -163,7 +163,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35, phrase: int = 6, shard_b
     shards = parts(docs.sparkSession, total, shard_bytes)
     kept = ["doc_id"] if digests_only else [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     rid = F.xxhash64("doc_id", "text")
-    d = docs.select(*kept, "text", rid.alias("rid"), F.pmod(rid, F.lit(shards)).cast("int").alias("shard"))
+    # the input's columns travel under numbers, so no name of theirs can clash
+    numbered = [f"kept{k}" for k in range(len(kept))]
+    d = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, numbered, strict=True)], "text", rid.alias("rid"), F.pmod(rid, F.lit(shards)).cast("int").alias("shard"))
     counted = anchor_counts(d, window, phrase).groupBy("anchor", "shard").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"))
     # one row per shard at most in a group of this window
     counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy("anchor"))).where("total > 1")
@@ -201,7 +203,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, phrase: int = 6, shard_b
                 else:
                     texts.append(left.column("text")[k].as_py() if gone is None else b" ".join(left_over).decode("utf-8", "surrogatepass"))
             numbers = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
-            return pa.table([*[left.column(c) for c in kept], pa.array(texts, pa.string()), *numbers], names=[*kept, "kept_sha256" if digests_only else "text", "n_words", "n_removed"])
+            return pa.table([*[left.column(c) for c in numbered], pa.array(texts, pa.string()), *numbers], names=[*kept, "kept_sha256" if digests_only else "text", "n_words", "n_removed"])
 
     windows = d.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(look, "a long, b int, rid long, pos int")
     single = windows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("pos").alias("pos")).where("n = 1")
