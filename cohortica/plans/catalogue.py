@@ -12,6 +12,7 @@ from cohortica.operators import cells as C
 from cohortica.operators import macro as X
 from cohortica.operators import metrics as Q
 from cohortica.operators import model as M
+from cohortica.operators import panel as P
 from cohortica.operators import survival as S
 from cohortica.plans import standin as B
 
@@ -298,3 +299,46 @@ def vif(s, d):
 def baseline_probe(s, d):
     p = M.baseline_probe([(r.age, r.at_risk, r.defaults) for r in _risk(s, d).orderBy("age").collect()])  # a row per age
     return s.createDataFrame([(f, round(p[f]["aic"], 4), f == p["best"]) for f in ("constant", "weibull", "spline")], "baseline string, aic double, best boolean")
+
+
+_add("cells_fine", lambda s, d: C.cells(B.book(s, d), C.CellSpec(B.FINE, ("segment", "priority"))))
+_add("cells_narrow", lambda s, d: C.cells(B.book(s, d), C.CellSpec({}, ("segment",))))
+_add("defaults_by_month_from_cells", lambda s, d: C.dense_months(B.scored(s, d).groupBy("month").agg(F.sum("loan_months").alias("loan_months"), F.sum(Q.hits()).alias("defaults")), "month", "loan_months", "defaults"))
+_add("durations_reconstructed", lambda s, d: P.durations(_risk(s, d)))
+_add("survival_by_stratum", lambda s, d: S.kaplan_meier(S.risk_sets(B.cell_table(s, d), ["price"]), ["price"]).select("price", "age", "at_risk", "defaults", "survival"))
+_add("outcomes_by_age", lambda s, d: P.outcomes_by_age(B.cell_table(s, d)))
+_add("macro_long", lambda s, d: P.unpivoted(B.macro(s, d), ["month"], ["price_index", "volume", "discount_rate"]).withColumn("value", F.round("value", 6)))
+_add("at_origination", lambda s, d: P.at_origination(B.user_days(s, d)))
+
+
+@query
+def to_loan_level(s, d):
+    u = B.user_days(s, d).select("loan", "age", (F.col("errors") >= 3).alias("event"), F.when(F.col("events") > 1, F.col("events")).alias("events"))
+    return P.to_loan_level(u, ["events"])
+
+
+@query
+def stability_report(s, d):
+    a, b, _ = _halves(s, d)
+    return P.stability(a, b, ["segment", "priority"], ["acctbal", "price"])
+
+
+@query
+def macro_as_of(s, d):
+    m = B.macro(s, d).where(F.col("month") % 4 == 1).select("month", "price_index")
+    c = B.cell_table(s, d).groupBy((F.col("origination_month") + F.col("age")).alias("month")).agg(F.sum("loan_months").alias("loan_months"))
+    return P.as_of(c, m, "month", ["price_index"]).withColumn("price_index", F.round("price_index", 6))
+
+
+@query
+def conditional_pd(s, d):
+    p = B.cell_table(s, d).where("age = 0").groupBy("segment", "price").agg(F.sum("loan_months").alias("weight"))
+    eta = F.lit(4.6) - F.lit(0.002) * F.col("price") / 1000 + F.when(F.col("segment") == "BUILDING", 0.2).otherwise(0.0)
+    x = p.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("hazard", weibull_hazard(F.col("step") + 6, eta, B.LOG_SHAPE))
+    return S.survival_path(x, ["segment", "price"]).where("step = 11").select("segment", "price", F.round("cumulative_pd", 8).alias("pd_12m"))
+
+
+@query
+def marginal_families(s, d):
+    rows = [(r.duration, r.event, r.loans) for r in P.durations(_risk(s, d)).collect()]  # a row per duration and event
+    return s.createDataFrame([(r["family"], round(r["aic"], 4), round(r["log_scale"], 5)) for r in P.marginal_families(rows)], "family string, aic double, log_scale double")

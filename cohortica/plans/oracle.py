@@ -170,4 +170,17 @@ SELECT segment, CAST(step AS INT) AS step, round(f, 8) AS cumulative_pd, round(f
 SELECT CAST(step AS INT) AS step, round(s, 9) AS survival, round(sum(n * hd) OVER w, 9) AS incidence_default, round(sum(n * hp) OVER w, 9) AS incidence_prepayment FROM e WINDOW w AS (ORDER BY step)""",
     "scenario_pd": "WITH " + MACRO + """, l AS (SELECT * FROM macro ORDER BY month DESC LIMIT 1), f AS (SELECT s.scenario, k AS step, price_index * (CASE WHEN scenario = 'base' THEN 1.0 ELSE 1 + [-0.1, -0.2, -0.15][least(k, 3)] END) AS p FROM l, (SELECT unnest(range(1, 13)) AS k), (VALUES ('base'), ('adverse')) AS s(scenario)),
 h AS (SELECT *, 1 - exp(-exp(-4 - p / 100000)) AS hz FROM f) SELECT scenario, CAST(step AS INT) AS step, round(1 - exp(sum(ln(1 - hz)) OVER (PARTITION BY scenario ORDER BY step)), 8) AS cumulative_pd FROM h""",
+    "cells_fine": B + f" SELECT {_mid('price', list(range(0, 400001, 25000)))} AS price, {_mid('acctbal', BALANCE)} AS acctbal, segment, priority, age, origination_month, outcome, count(*) AS loan_months FROM book GROUP BY ALL",
+    "cells_narrow": B + " SELECT segment, age, origination_month, outcome, count(*) AS loan_months FROM book GROUP BY ALL",
+    "defaults_by_month_from_cells": B + ", c AS (SELECT month, count(*) AS n, count(*) FILTER (WHERE outcome = 'default') AS d FROM book GROUP BY 1), s AS (SELECT unnest(range((SELECT min(month) FROM c), (SELECT max(month) + 1 FROM c))) AS month) SELECT CAST(s.month AS INT) AS month, coalesce(n, 0) AS loan_months, coalesce(d, 0) AS defaults FROM s LEFT JOIN c ON s.month = c.month",
+    "durations_reconstructed": RISK + ", x AS (SELECT age, defaults, CAST(greatest(at_risk - defaults - coalesce(lead(at_risk) OVER (ORDER BY age), 0), 0) AS BIGINT) AS censored FROM risk) SELECT age + 1 AS duration, TRUE AS event, defaults AS loans FROM x WHERE defaults > 0 UNION ALL SELECT age + 1, FALSE, censored FROM x WHERE censored > 0",
+    "survival_by_stratum": CELLS + ", r AS (SELECT price, age, sum(loan_months) AS n, coalesce(sum(loan_months) FILTER (WHERE outcome = 'default'), 0) AS d FROM cells GROUP BY 1, 2) SELECT price, age, CAST(n AS BIGINT) AS at_risk, CAST(d AS BIGINT) AS defaults, round(CASE WHEN max(d / n) OVER w >= 1 THEN 0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - d / n) ELSE 0 END) OVER w) END, 9) AS survival FROM r WINDOW w AS (PARTITION BY price ORDER BY age)",
+    "outcomes_by_age": CELLS + " SELECT age, outcome, CAST(sum(loan_months) AS BIGINT) AS loan_months FROM cells GROUP BY 1, 2",
+    "macro_long": "WITH " + MACRO + " SELECT month, 'price_index' AS series, round(price_index, 6) AS value FROM macro UNION ALL SELECT month, 'volume', volume FROM macro UNION ALL SELECT month, 'discount_rate', round(discount_rate, 6) FROM macro",
+    "at_origination": """WITH u AS (SELECT user_id AS loan, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS age, CAST(count(*) FILTER (WHERE event_type = 'error') AS INT) AS errors, count(*) AS events FROM events GROUP BY 1, 2)
+SELECT loan, age, errors, events FROM (SELECT *, row_number() OVER (PARTITION BY loan ORDER BY age) AS k FROM u) WHERE k = 1""",
+    "to_loan_level": """WITH u AS (SELECT user_id AS loan, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS age, count(*) FILTER (WHERE event_type = 'error') >= 3 AS event, CASE WHEN count(*) > 1 THEN count(*) END AS events FROM events GROUP BY 1, 2)
+SELECT loan, max(age) + 1 AS duration, bool_or(event) AS event, arg_min(events, age) AS events FROM u GROUP BY loan""",
+    "macro_as_of": CELLS + ", " + MACRO + ", m AS (SELECT month, price_index FROM macro WHERE month % 4 = 1), c AS (SELECT origination_month + age AS month, CAST(sum(loan_months) AS BIGINT) AS loan_months FROM cells GROUP BY 1) SELECT c.month, loan_months, round(m.price_index, 6) AS price_index FROM c ASOF LEFT JOIN m ON c.month >= m.month",
+    "conditional_pd": SCORED + ", p AS (SELECT DISTINCT segment, price, 4.6 - 0.002 * price / 1000 + (CASE WHEN segment = 'BUILDING' THEN 0.2 ELSE 0.0 END) AS e FROM cells WHERE age = 0) SELECT segment, price, round(1 - exp(-(pow(18 / exp(e), exp(CAST(0.26 AS DOUBLE))) - pow(6 / exp(e), exp(CAST(0.26 AS DOUBLE))))), 8) AS pd_12m FROM p",
 }
