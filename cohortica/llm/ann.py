@@ -99,7 +99,7 @@ class Centroids:
         return taken or ids[:1].tolist()
 
 
-def search_embeddings(vectors: DataFrame, every: int = 20, k: int = 20, list_rows: int = 400, sample_rows: int = 20_000, most_lists: int = 2_048, copies: int = 3, near_ratio: float = 1.05, read_ratio: float = 1.14, least_lists: int = 8, shard_rows: int = 20_000) -> DataFrame:
+def search_embeddings(vectors: DataFrame, every: int = 20, k: int = 20, list_rows: int = 400, sample_rows: int = 20_000, most_lists: int = 2_048, copies: int = 3, near_ratio: float = 1.05, read_ratio: float = 1.16, least_lists: int = 8, shard_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every vector whose id is divisible by `every`, among all others.
 
     sample_rows and most_lists bound what is fitted, held in memory and sent to executors, at every size of the table.
