@@ -13,6 +13,9 @@ different sets are scanned: they tie sets to clusters (star edges to the list's
 inside a cluster overlaps are counted by scanning shingle lists, with exact intersection sizes. Large clusters are dealt out as pairs of bounded chunks.
 Pairs that are already connected are not counted again, for only components are asked for.
 
+At lower thresholds segments get short, and lines that many documents share begin to fill lists again. With `miss` above 0 fewer, longer segments are used: D elements that fall by
+hash leave one of them untouched but for a chance of at most `miss`, and that only for pairs right at the threshold.
+
 Edges: null text and text without words: empty set, linked with nothing, a component of its own; fewer words than a shingle has: the whole sequence is the one
 shingle; repeated rows (equal doc_id) are documents of one component; extra columns are ignored; an empty table gives an empty result.
 Sets are told apart by 64 bits, checked by 64 more: if two sets ever collide, the pass runs again with the next seed.
@@ -20,6 +23,7 @@ Sets are told apart by 64 bits, checked by 64 more: if two sets ever collide, th
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -67,7 +71,18 @@ def bands(jaccard: float, most: int) -> np.ndarray:
 BANDS: dict[float, np.ndarray] = {}
 
 
-def lists_of(x: np.ndarray, jaccard: float) -> np.ndarray:
+@functools.lru_cache(maxsize=None)
+def n_segments(differ: int, miss: float) -> int:
+    """Segments for sets that differ in so many elements at most: one more than that, which leaves one segment untouched for certain; or, where a chance of
+    missing a pair right at the threshold is allowed, the fewest for which all are touched with no more than that chance: elements fall into segments by hash, and
+    segments being touched are negatively associated, so (1 - (1 - 1/m)^differ)^m bounds it."""
+    m = differ + 1
+    while miss > 0 and m > 2 and (m - 1) * math.log1p(-((1 - 1 / (m - 1)) ** differ)) <= math.log(miss):
+        m -= 1
+    return m
+
+
+def lists_of(x: np.ndarray, jaccard: float, miss: float = 0.0) -> np.ndarray:
     """Keys of the inverted lists of a heavy set: for its band, and for the band below, as partner of smaller sets."""
     b = BANDS.setdefault(jaccard, bands(jaccard, 2**31))
     i = int(np.searchsorted(b, len(x), side="right")) - 1
@@ -77,14 +92,15 @@ def lists_of(x: np.ndarray, jaccard: float) -> np.ndarray:
             continue
         s = int(b[level + 1]) - 1  # the largest set of this band; with a partner of s / J it differs in at most:
         d = math.floor(s * (1 + 1 / jaccard) * (1 - jaccard) / (1 + jaccard) + 1e-9)
-        segment = (mixed(x + U(level)) % U(d + 1)).astype(np.int64)
+        n = n_segments(d, miss)
+        segment = (mixed(x + U(level)) % U(n)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
-        starts = np.searchsorted(segment[order], np.arange(d + 1))
+        starts = np.searchsorted(segment[order], np.arange(n))
         sums = np.concatenate([np.cumsum(mixed(x[order] * GOLD)), [U(0)]])
         upto = sums[np.append(starts[1:], len(x)) - 1]
         upto[np.append(starts[1:], len(x)) == 0] = 0
         own = upto - np.concatenate([[U(0)], upto[:-1]])
-        out.append(mixed(own + np.arange(d + 1, dtype=U) * M1 + U(level) * M2))
+        out.append(mixed(own + np.arange(n, dtype=U) * M1 + U(level) * M2))
     return np.concatenate(out)
 
 
@@ -115,12 +131,12 @@ def boundary(histogram: dict[int, int], jaccard: float, scan_weight: float = 2.0
     return best
 
 
-def keys_of(x: np.ndarray, jaccard: float, light: int) -> np.ndarray:
+def keys_of(x: np.ndarray, jaccard: float, light: int, miss: float = 0.0) -> np.ndarray:
     n = len(x)
     if n > light:
-        return lists_of(x, jaccard)
+        return lists_of(x, jaccard, miss)
     # a light set near the boundary may have heavy partners
-    return np.concatenate([subsets_of(x, jaccard), lists_of(x, jaccard)]) if n >= jaccard * (light + 1) - 1e-9 else subsets_of(x, jaccard)
+    return np.concatenate([subsets_of(x, jaccard), lists_of(x, jaccard, miss)]) if n >= jaccard * (light + 1) - 1e-9 else subsets_of(x, jaccard)
 
 
 def small_sizes(docs: DataFrame, width: int) -> dict[int, int]:
@@ -130,7 +146,7 @@ def small_sizes(docs: DataFrame, width: int) -> dict[int, int]:
     return {r.s: r.n for r in short.groupBy("s").agg(F.count("*").alias("n")).collect()}
 
 
-def keyed_documents(docs: DataFrame, jaccard: float, width: int, light: int, seed: int) -> DataFrame:
+def keyed_documents(docs: DataFrame, jaccard: float, width: int, light: int, seed: int, miss: float) -> DataFrame:
     """doc_id, n_shingles, set_key, set_check, keys per document row."""
 
     def work(batches):
@@ -143,7 +159,7 @@ def keyed_documents(docs: DataFrame, jaccard: float, width: int, light: int, see
                         x = shingles(text, width, seed) if text is not None else np.zeros(0, U)
                         d = xxhash.xxh3_128_digest(x.tobytes(), seed)
                         sizes.append(len(x)), key.append(int.from_bytes(d[:8], "big", signed=True)), check.append(int.from_bytes(d[8:], "big", signed=True))
-                        keys.append(keys_of(x, jaccard, light).view(np.int64) if len(x) else None)
+                        keys.append(keys_of(x, jaccard, light, miss).view(np.int64) if len(x) else None)
                     yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "set_check", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, set_key long, set_check long, keys array<long>")
@@ -223,11 +239,11 @@ def true_links(sets_in_clusters: DataFrame, jaccard: float, width: int, seed: in
     return sets_in_clusters.mapInArrow(work, "a long, b long")
 
 
-def join_documents(docs: DataFrame, jaccard: float = 0.9, width: int = 3, words_per_tile: int = 2_000_000, seed: int = 7) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) per document row. jaccard: in hundredths."""
+def join_documents(docs: DataFrame, jaccard: float = 0.9, width: int = 3, words_per_tile: int = 2_000_000, seed: int = 7, miss: float = 0.0) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) per document row. jaccard: in hundredths. miss: chance allowed to miss a pair just at the threshold (0: none is missed)."""
     light = boundary(small_sizes(docs, width), jaccard)
     while True:
-        keyed = cut(keyed_documents(docs, jaccard, width, light, seed), "sets")
+        keyed = cut(keyed_documents(docs, jaccard, width, light, seed, miss), "sets")
         classes = cut(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("set_check").alias("least"), F.max("set_check").alias("most"), F.max("n_shingles").alias("size")), "classes")
         if classes.where("least <> most").isEmpty():
             break
