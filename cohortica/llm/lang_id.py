@@ -4,8 +4,9 @@ A profile is the list of a language's most frequent character n-grams (one to th
 own most frequent n-grams are compared with each profile by the out-of-place distance: the sum over its n-grams of how far apart the two
 ranks are, or the profile's length for an n-gram that the profile lacks. The nearest language wins.
 
-Words are runs of letters, in lower case; n-grams are counted over whole texts, by way of each text's distinct words. Ties in counts are broken by the
-n-gram, ties in distance by the language. Profiles are learnt from all training rows: each Arrow batch gives partial counts, Spark adds them up.
+Words are runs of letters, in lower case; n-grams are counted over whole texts. Ties in counts are broken by the
+n-gram, ties in distance by the language. Profiles are learnt from a bounded sample of the labelled rows (sample_rows, chosen by a hash of doc_id, all rows if there are no more): each Arrow batch gives partial counts,
+Spark adds them up.
 What is sent to the executors is languages * top rows; languages are a set of labels, and more than max_languages raise an error.
 
 Edges: null text, or text without a letter: "und", score 0; no learnt language: "und" everywhere; null lang is not learnt from; repeated rows and extra
@@ -14,8 +15,7 @@ columns change nothing (only doc_id, text and lang are read); an empty table giv
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -23,44 +23,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-LETTERS = re.compile(r"[^\W\d_]+")
 TOP = 400
 UNDETERMINED = "und"
 #: An n-gram is kept as an integer: 21 bits a character.
 BITS = 21
 
 
-class Grams:
-    """n-grams of words; remembers those of short words, up to a bound."""
-
-    def __init__(self, remembered: int = 200_000):
-        self.known: dict[str, np.ndarray] = {}
-        self.remembered = remembered
-
-    def of(self, word: str) -> np.ndarray:
-        if (found := self.known.get(word)) is not None:
-            return found
-        c = np.frombuffer(f" {word} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        pairs = (c[:-1] << BITS) | c[1:]
-        found = np.concatenate([c[1:-1], pairs, (pairs[:-1] << BITS) | c[2:]])
-        if len(word) <= 40:
-            if len(self.known) >= self.remembered:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of a text and how often each occurs."""
-        words = Counter(LETTERS.findall(text.lower()))
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        each = [self.of(w) for w in words]
-        grams = np.concatenate(each)
-        weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in each])
-        order = np.argsort(grams, kind="stable")
-        grams, weights = grams[order], weights[order]
-        starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-        return grams[starts], np.add.reduceat(weights, starts)
+@functools.lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text and how often each occurs: letters, pairs with a letter, and triples around a letter; all else counts as a blank."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    m = letters()[c]
+    c = np.where(m, c, 32).astype(np.int64)
+    pairs = (c[:-1] << BITS) | c[1:]
+    triples = (pairs[:-1] << BITS) | c[2:]
+    grams = np.sort(np.concatenate([c[m], pairs[m[:-1] | m[1:]], triples[m[1:-1]]]))
+    if not len(grams):
+        return grams, grams
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[starts], np.diff(np.append(starts, len(grams)))
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
@@ -71,23 +57,24 @@ def ranked(grams: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     return grams[np.lexsort((grams, -counts))][:top]
 
 
-def learn(rows: DataFrame, top: int = TOP, max_languages: int = 2_000) -> dict[str, np.ndarray]:
-    """Profiles of the languages of rows (text, lang)."""
+def learn(rows: DataFrame, top: int = TOP, max_languages: int = 2_000, sample_rows: int = 40_000) -> dict[str, np.ndarray]:
+    """Profiles of the languages of rows (doc_id, text, lang)."""
 
     def partial(batches):
-        grams = Grams()
         for b in batches:
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
             by: dict[str, list] = {}
             for lang, text in zip(langs, texts, strict=True):
-                by.setdefault(lang, []).append(grams.counted(text))
+                by.setdefault(lang, []).append(counted(text))
             for lang, parts in by.items():
                 g, c = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
                 u, inverse = np.unique(g, return_inverse=True)
                 c = np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(c)], names=["lang", "gram", "n"])
 
-    known = rows.where("text is not null and lang is not null").select("lang", "text")
+    known = rows.where("text is not null and lang is not null")
+    share = min(1.0, sample_rows / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
     counts = known.mapInArrow(partial, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = _best(counts, top)
     rows = best.limit(max_languages * top + 1).collect()
@@ -117,10 +104,10 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) ->
     for i, x in enumerate(languages):
         ranks[i, np.searchsorted(vocabulary, profiles[x])] = np.arange(len(profiles[x]))
 
-    def one(text: str | None, grams: Grams) -> tuple[str, float]:
+    def one(text: str | None) -> tuple[str, float]:
         if text is None or not languages:
             return UNDETERMINED, 0.0
-        own = ranked(*grams.counted(text), top)
+        own = ranked(*counted(text), top)
         if not len(own):
             return UNDETERMINED, 0.0
         at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
@@ -131,9 +118,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) ->
         return languages[best], float(1 - away[best] / (top * len(own)))
 
     def answer(batches):
-        grams = Grams()
         for b in batches:
-            found = [one(x, grams) for x in b.column("text").to_pylist()]
+            found = [one(x) for x in b.column("text").to_pylist()]
             arrays = [b.column(c) for c in others] + [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*others, "lang_pred", "score"])
 
@@ -157,7 +143,7 @@ def keep_identified(docs: DataFrame, top: int = TOP) -> DataFrame:
     profiles = learn(docs.where(~held_out(F.col("doc_id"))), top)
     languages = sorted(profiles)
     if not languages:
-        return docs.limit(0)
+        return docs.where(F.lit(False))
     others = [c for c in docs.columns if c != "text"]
     found = predict(docs.withColumn("l_text", F.col("text")), profiles, top)
     return found.where(F.col("lang_pred") != UNDETERMINED).withColumn("lang", F.col("lang_pred")).withColumnRenamed("l_text", "text").select(*[c for c in docs.columns if c in others or c == "text"])
