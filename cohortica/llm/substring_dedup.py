@@ -3,8 +3,8 @@
 1. Each window is represented by its anchor: of the short phrases (6 words) in it, the one with the smallest hash. Equal windows have equal anchors, and
    neighbouring windows mostly share theirs, so a text has one anchor in about fifteen words. Anchors are counted over the corpus.
 2. Recurring anchors are the phrases to look for. Documents are dealt into shards of bounded size by hash; a shard gets the phrases that some document of it
-   may hold, takes their words from its own documents, and compiles them to an Aho-Corasick automaton (words as symbols). All documents of the shard are streamed
-   through it, which finds every occurrence of every phrase, word for word.
+   may hold, takes their words from its own documents, and compiles them to an Aho-Corasick automaton (words as symbols, told apart by 64 bits of hash). All documents of the shard are streamed
+   through it, which finds every occurrence of every phrase.
 3. Windows anchored at an occurrence are counted over the corpus by 96 bits of hash. Windows that are alone go back to their shard (a window
    seen once is held by one document, so nothing hot is ever joined); all other windows anchored at an occurrence recur, and the words they cover are removed.
 
@@ -22,7 +22,6 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -31,7 +30,7 @@ from cohortica.llm.common import cut, parts
 
 U = np.uint64
 GOLD, M1, M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-SURROGATES = 0xD800
+DIGITS = 48
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -40,72 +39,142 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
+#: Which bytes part words; a random number for each byte.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+with np.errstate(over="ignore"):
+    BYTES = _mixed(np.arange(1, 257, dtype=U) * GOLD)
+
+
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64; grows as longer texts come."""
+
+    def __init__(self, base: int):
+        self.bases = (base, pow(base, -1, 2**64))
+        self.tables = [np.ones(1, U), np.ones(1, U)]
+
+    def __call__(self, n: int, inverse: bool = False) -> np.ndarray:
+        if len(self.tables[inverse]) < n:
+            with np.errstate(over="ignore"):
+                grown = np.full(max(n, 4096) * 2, U(self.bases[inverse]))
+                grown[0] = 1
+                self.tables[inverse] = np.cumprod(grown, dtype=U)
+        return self.tables[inverse][:n]
+
+    def windows(self, h: np.ndarray, width: int) -> np.ndarray:
+        """Polynomial hash of every `width` neighbours, by differences of prefix sums."""
+        total = np.concatenate([np.zeros(1, U), np.cumsum(h * self(len(h)), dtype=U)])
+        return _mixed((total[width:] - total[:-width]) * self(len(h) - width + 1, True))
+
+
+LETTERS, PHRASES, FIRST, SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xBF58476D1CE4E5B9), Powers(0x94D049BB133111EB), Powers(0xD6E8FEB86659FD93)
+
+
+def hashed(text: bytes) -> np.ndarray:
+    """64-bit hash of each word of a text."""
+    b = np.frombuffer(text, np.uint8)
+    inside = ~BLANK[b]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(b) and inside[0]:
+        edge = np.concatenate([[0], edge])
+    starts = edge[::2]
+    if not len(starts):
+        return np.zeros(0, U)
+    ends = np.append(edge[1::2], len(b))[: len(starts)]
+    sizes = ends - starts
+    # bytes of words only, each with its place in the word
+    letters = BYTES[b[inside]]
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    place = np.arange(len(letters)) - np.repeat(first, sizes)
+    return _mixed(np.add.reduceat(letters * LETTERS(int(sizes.max()))[place], first) + sizes.astype(U) * GOLD)
+
+
+def slide(x: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
+    """Least (or greatest) of every `width` neighbours, by doubling."""
+    m, step = x, 1
+    while step * 2 <= width:
+        m = pick(m[:-step], m[step:])
+        step *= 2
+    return pick(m[: len(m) - (width - step)], m[width - step :]) if step < width else m
 
 
 def anchors(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all phrases, and the place of each window's anchor (leftmost of the smallest)."""
-    n = len(h) - phrase + 1
-    x = np.zeros(n, U)
-    for k in range(phrase):
-        x = _mixed(x * GOLD + h[k : n + k])
-    wide = window - phrase + 1
-    return x, np.lib.stride_tricks.sliding_window_view(x, wide).argmin(axis=1) + np.arange(len(h) - window + 1)
+    """Hashes of all phrases, and each window's anchor: the smallest of its phrases' hashes."""
+    x = PHRASES.windows(h, phrase)
+    return x, slide(x, window - phrase + 1)
 
 
-def window_hashes(h: np.ndarray, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits for the windows that start at the given places."""
-    a, b = np.zeros(len(at), U), np.zeros(len(at), U)
-    other = _mixed(h ^ M2)
-    for k in range(window):
-        a = a * GOLD + h[at + k]
-        b = b * M1 + other[at + k]
-    return _mixed(a).view(np.int64), (_mixed(b) >> U(33)).astype(np.int32)
+def anchor_values(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors of a text, and at how many places each is an anchor."""
+    x, least = anchors(h, window, phrase)
+    wide = window - phrase + 1
+    around = np.concatenate([np.zeros(wide - 1, U), least, np.zeros(wide - 1, U)])
+    # a phrase is an anchor if the greatest of the minima of the windows around it is its own
+    return np.unique(x[slide(around, wide, np.maximum) == x].view(np.int64), return_counts=True)
 
 
 class Shard:
     """Documents of a shard, and the automata of its phrases."""
 
-    def __init__(self, docs: dict[int, list[bytes]], wanted: dict[int, set[int]], window: int, phrase: int, at_once: int = 100_000):
+    def __init__(self, docs: dict[int, np.ndarray], wanted: dict[int, set[int]], window: int, phrase: int, at_once: int = 18_000):
         self.window, self.phrase = window, phrase
-        phrases: set[tuple[bytes, ...]] = set()
+        rows = []
         for rid, keys in wanted.items():
-            words = docs[rid]
-            x, place = anchors(hashed(words), window, phrase)
-            place = np.unique(place)
-            for p in place[np.isin(x[place].view(np.int64), np.fromiter(keys, np.int64, len(keys)))].tolist():
-                phrases.add(tuple(words[p : p + phrase]))
-        ordered = sorted(phrases)
+            h = docs[rid]
+            x = PHRASES.windows(h, phrase)
+            at = np.flatnonzero(np.isin(x, np.fromiter(keys, np.int64, len(keys)).view(U)))
+            if len(at):
+                rows.append(h[at[:, None] + np.arange(phrase)[None, :]])
+        phrases = np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, phrase), U)
         self.automata = []
-        # so many phrases at once have fewer distinct words than there are symbols
-        for k in range(0, len(ordered), at_once):
-            symbols: dict[bytes, str] = {}
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for i, p in enumerate(ordered[k : k + at_once]):
-                for w in p:
-                    if w not in symbols:
-                        c = len(symbols) + 1
-                        symbols[w] = chr(c if c < SURROGATES else c + 0x800)
-                automaton.add_word("".join([symbols[w] for w in p]), i)
+        # so many phrases at once have fewer distinct words than DIGITS ** 3
+        for k in range(0, len(phrases), at_once):
+            part = phrases[k : k + at_once]
+            words, symbol = np.unique(part, return_inverse=True)
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for p in _text(symbol.reshape(part.shape)).split("\n"):
+                automaton.add_word(p)
             automaton.make_automaton()
-            self.automata.append((symbols, automaton))
+            self.automata.append((words, automaton))
 
-    def candidates(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
-        """Starts of the windows whose anchor is an occurrence of a phrase, and the word hashes."""
+    def candidates(self, h: np.ndarray) -> np.ndarray:
+        """Starts of the windows whose anchor is an occurrence of a phrase."""
         none = np.zeros(0, np.int64)
-        if len(words) < self.window:
-            return none, None
+        if len(h) < self.window:
+            return none
         found: list[int] = []
-        for symbols, automaton in self.automata:
-            get = symbols.get
-            found += [end for end, _ in automaton.iter("".join([get(w, "\0") for w in words]))]
+        for words, automaton in self.automata:
+            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            known = words[at] == h
+            # an occurrence needs as many known words in a row; only such runs are streamed, a word that is not known between them
+            runs = np.flatnonzero(slide(known.astype(np.uint8), self.phrase))
+            if len(runs):
+                near = covered(len(h) + 2, runs, self.phrase + 2)[1:-1]
+                place = np.flatnonzero(near)
+                ends = [end for end, _ in automaton.iter(_text(np.where(known, at, -1)[place][None, :]))]
+                found += place[np.array(ends, np.int64) // 3].tolist()
         if not found:
-            return none, None
-        here = np.zeros(len(words), bool)
-        here[np.array(found) - (self.phrase - 1)] = True
-        h = hashed(words)
-        return np.flatnonzero(here[anchors(h, self.window, self.phrase)[1]]), h
+            return none
+        x, least = anchors(h, self.window, self.phrase)
+        here = np.full(len(x), ~U(0))
+        at = np.array(found) - (self.phrase - 1)
+        here[at] = x[at]
+        return np.flatnonzero(slide(here, self.window - self.phrase + 1) == least)
+
+
+def _text(numbers: np.ndarray) -> str:
+    """Rows of word numbers as lines of text, three digits a word; each digit has its own letters, so words start where they are meant to. -1: no word.
+
+    An automaton looks through the letters that follow a node one by one, hence digits and not a letter for each word.
+    """
+    digits = np.stack([numbers // DIGITS**2, numbers // DIGITS % DIGITS + DIGITS, numbers % DIGITS + 2 * DIGITS], axis=-1) + 32
+    digits[numbers < 0] = 11
+    lines = digits.reshape(len(numbers), -1).astype(np.uint8)
+    return np.concatenate([lines, np.full((len(lines), 1), 10, np.uint8)], axis=1).tobytes()[:-1].decode("latin-1")
+
+
+def window_hashes(h: np.ndarray, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits for the windows that start at the given places."""
+    return FIRST.windows(h, window)[at].view(np.int64), (SECOND.windows(_mixed(h ^ M2), window)[at] >> U(33)).astype(np.int32)
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -116,19 +185,20 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _shard(left: pa.Table, right: pa.Table, window: int, phrase: int) -> tuple[list, Shard]:
-    """Rows (number, rid, words) of a shard's documents, and its automata."""
+def _bytes(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if text else b""
+
+
+def _shard(left: pa.Table, right: pa.Table, window: int, phrase: int) -> tuple[list[int], list[bytes], list[np.ndarray], Shard]:
+    """Ids, texts and word hashes of a shard's documents, and its automata."""
     rids = left.column("rid").to_pylist()
-    split = [_words(t) for t in left.column("text").to_pylist()]
+    texts = [_bytes(t) for t in left.column("text").to_pylist()]
+    hashes = [hashed(t) for t in texts]
     wanted: dict[int, set[int]] = {}
     for rid, key, pos in zip(*(right.column(c).to_pylist() for c in ("rid", "anchor", "pos")), strict=True):
         if pos < 0:
             wanted.setdefault(rid, set()).add(key)
-    return list(zip(range(len(rids)), rids, split, strict=True)), Shard(dict(zip(rids, split, strict=True)), wanted, window, phrase)
-
-
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+    return rids, texts, hashes, Shard(dict(zip(rids, hashes, strict=True)), wanted, window, phrase)
 
 
 def anchor_counts(docs: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -139,11 +209,9 @@ def anchor_counts(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             for b in batches:
                 out: list[tuple] = []
                 for rid, shard, text in zip(*(b.column(c).to_pylist() for c in ("rid", "shard", "text")), strict=True):
-                    words = _words(text)
-                    if len(words) >= window:
-                        x, place = anchors(hashed(words), window, phrase)
-                        u, n = np.unique(x[np.unique(place)].view(np.int64), return_counts=True)
-                        out.append((u, n, rid, shard))
+                    h = hashed(_bytes(text))
+                    if len(h) >= window:
+                        out.append((*anchor_values(h, window, phrase), rid, shard))
                 if out:
                     sizes = [len(u) for u, _, _, _ in out]
                     yield pa.RecordBatch.from_arrays(
@@ -173,10 +241,10 @@ def dedup_substrings(docs: DataFrame, window: int = 35, phrase: int = 6, shard_b
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            rows, shard = _shard(left, right, window, phrase)
+            rids, _, hashes, shard = _shard(left, right, window, phrase)
             out = []
-            for _, r, words in rows:
-                at, h = shard.candidates(words)
+            for r, h in zip(rids, hashes, strict=True):
+                at = shard.candidates(h)
                 if len(at):
                     a, b = window_hashes(h, window, at)
                     out.append((a, b, np.full(len(at), r, np.int64), at.astype(np.int32)))
@@ -185,14 +253,14 @@ def dedup_substrings(docs: DataFrame, window: int = 35, phrase: int = 6, shard_b
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            rows, shard = _shard(left, right, window, phrase)
+            rids, originals, hashes, shard = _shard(left, right, window, phrase)
             alone: dict[int, list[int]] = {}
             for r, pos in zip(right.column("rid").to_pylist(), right.column("pos").to_pylist(), strict=True):
                 if pos >= 0:
                     alone.setdefault(r, []).append(pos)
             n_words, n_removed, texts = [], [], []
-            for k, r, words in rows:
-                at, _ = shard.candidates(words)
+            for k, (r, h) in enumerate(zip(rids, hashes, strict=True)):
+                words, at = originals[k].split(), shard.candidates(h)
                 if r in alone:
                     at = np.setdiff1d(at, np.array(alone[r]), assume_unique=False)
                 gone = covered(len(words), at, window) if len(at) else None
