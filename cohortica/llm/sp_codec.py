@@ -15,12 +15,15 @@ is put and taken away again; repeated rows with one doc_id and text get one segm
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
@@ -32,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 class Codec:
     """Encoder and decoder of one model."""
 
-    def __init__(self, model: str | bytes = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, remembered: int = 400_000):
+    def __init__(self, model: str | bytes = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, remembered: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model) if isinstance(model, bytes) else sentencepiece.SentencePieceProcessor(model_file=model)
@@ -207,28 +210,27 @@ class Codec:
 
     def encode_many(self, texts: list[str | None], keys) -> list[np.ndarray | None]:
         """Piece ids (int32) of texts; keys tell apart documents with equal text."""
-        cuts = [([], []) if not t else self._cut(t, k) for t, k in zip(texts, keys, strict=False)]
-        known = self.known
-        missing = {(v, c) for chunks, turns in cuts for c, v in zip(chunks, turns, strict=True) if v >= 0 and c not in known[v]}
-        if self.n_known + len(missing) > self.remembered and self.n_known:
-            for k in known:
+        if self.n_known > self.remembered:
+            for k in self.known:
                 k.clear()
             self.n_known = 0
-            missing = {(v, c) for chunks, turns in cuts for c, v in zip(chunks, turns, strict=True) if v >= 0}
+        known = self.known
+        own = tuple(self.byte_ids[b] for b in MARK.encode())
+        cuts, found, missing = [], [], set()
+        for t, k in zip(texts, keys, strict=False):
+            chunks, turns = self._cut(t, k) if t else ([], [])
+            pieces = [known[v].get(c) if v >= 0 else own for c, v in zip(chunks, turns, strict=True)]
+            cuts.append((chunks, turns)), found.append(pieces)
+            if None in pieces:
+                missing.update((v, c) for c, v, p in zip(chunks, turns, pieces, strict=True) if p is None)
         if missing:
             order = list(missing)
-            found = self.merged_many([c for _, c in order], np.fromiter((v for v, _ in order), np.int64, len(order)))
-            for (v, c), ids in zip(order, found, strict=True):
+            new = self.merged_many([c for _, c in order], np.fromiter((v for v, _ in order), np.int64, len(order)))
+            for (v, c), ids in zip(order, new, strict=True):
                 known[v][c] = ids
             self.n_known += len(order)
-        own = tuple(self.byte_ids[b] for b in MARK.encode())
-        out = []
-        for t, (chunks, turns) in zip(texts, cuts, strict=True):
-            if t is None:
-                out.append(None)
-            else:
-                out.append(np.fromiter(itertools.chain.from_iterable([known[v][c] if v >= 0 else own for c, v in zip(chunks, turns, strict=True)]), np.int32))
-        return out
+            found = [pieces if None not in pieces else [known[v][c] if p is None else p for c, v, p in zip(*cut, pieces, strict=True)] for cut, pieces in zip(cuts, found, strict=True)]
+        return [None if t is None else np.fromiter(itertools.chain.from_iterable(p), np.int32) for t, p in zip(texts, found, strict=True)]
 
     def encode(self, text: str, key: object = 0) -> np.ndarray:
         return self.encode_many([text], [key])[0]
@@ -241,6 +243,25 @@ class Codec:
         return (found[1:] if found[:1] == b" " else found).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=2)
+def shared_codec(proto: bytes, dropout: float, seed: int, variants: int) -> Codec:
+    """One codec per worker process: what it remembers serves all its tasks."""
+    return Codec(proto, dropout, seed, variants)
+
+
+def by_size(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many bytes of text, or of one row: what is held at once does not grow with the texts of a batch."""
+    lengths = [x or 0 for x in pc.binary_length(batch.column("text")).to_pylist()]
+    start = held = 0
+    for k, n in enumerate(lengths):
+        if k > start and held + n > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if len(lengths) > start:
+        yield batch.slice(start)
+
+
 def _model_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -256,10 +277,9 @@ def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = 0.1,
     named = "doc_id" if "doc_id" in docs.columns else None
 
     def work(batches):
-        codec = Codec(proto, dropout, seed, variants)
+        codec = shared_codec(proto, dropout, seed, variants)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for b in by_size(whole):
                 texts = b.column("text").to_pylist()
                 pieces = codec.encode_many(texts, b.column(named).to_pylist() if named else itertools.repeat(0))
                 n = [0 if x is None else len(x) for x in pieces]
@@ -280,7 +300,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     others = [c for c in encoded.columns if c not in ("text", "pieces")]
 
     def work(batches):
-        codec = Codec(proto)
+        codec = shared_codec(proto, 0.0, 0, 1)
         for b in batches:
             texts = [None if x is None else codec.decode(x) for x in b.column("pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in others] + [pa.array(texts, pa.string())], names=[*others, "text"])
