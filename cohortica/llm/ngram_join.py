@@ -262,7 +262,7 @@ def join_documents(docs: DataFrame, jaccard: float = 0.9, width: int = 3, words_
     tiles = tiles.select(F.col("rep").alias("id"), F.concat_ws("-", "component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), "chunk")
     tiles = cut(tiles, "tiles")
     texts = _texts(docs, tiles)
-    dealt = tiles.join(texts, tiles.id == texts.t_id).select("tile", F.col("chunk").alias("side"), "id", "text").repartition("tile").sortWithinPartitions("tile")
+    dealt = tiles.hint("merge").join(texts, tiles.id == texts.t_id).select("tile", F.col("chunk").alias("side"), "id", "text").repartition("tile").sortWithinPartitions("tile")
     edges = true_links(dealt, jaccard, width, seed)
     component = components(cut(edges, "links"), label="near").withColumnRenamed("id", "rep").withColumnRenamed("component", "smallest")
     answers = classes.join(component, "rep", "left").select("set_key", F.coalesce("smallest", "rep").alias("smallest"))
@@ -272,7 +272,8 @@ def join_documents(docs: DataFrame, jaccard: float = 0.9, width: int = 3, words_
 def _texts(docs: DataFrame, tiles: DataFrame) -> DataFrame:
     """Texts of the sets' first documents, one row each; of rows that repeat a doc_id with other texts, each is found by its own set."""
     wanted = tiles.select(F.col("id").alias("t_id")).distinct()
-    return docs.where("text is not null").select(F.col("doc_id").alias("t_id"), "text").join(wanted, "t_id")
+    # a merge join at every size: what is wanted grows with the corpus, so it is never broadcast
+    return docs.where("text is not null").select(F.col("doc_id").alias("t_id"), "text").join(wanted.hint("merge"), "t_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
