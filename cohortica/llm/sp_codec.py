@@ -3,8 +3,11 @@
 The model file of a public tokenizer is read for its pieces and scores; nothing is trained. A text is cut into chunks at places no piece reaches across, and
 each chunk is merged with an agenda: the pair of neighbours whose joint piece scores highest is merged first, leftmost on ties. When a
 candidate is taken from the agenda it is skipped if a keyed hash of (seed, variant, place, pair) falls below the dropout rate; a skipped candidate comes
-back only if a neighbour changes. The variant of a chunk is itself a keyed hash of document and chunk number, one of `variants`, so that the
-same word is cut differently within and across documents, runs agree, and the work per distinct (word, variant) is done once.
+back only if a neighbour changes. The variant of a chunk is itself a 64-bit keyed hash of document and chunk number, so every occurrence of a word has dice
+of its own, within and across documents, and runs agree.
+
+What is remembered is independent of the dice: for words that occur repeatedly, a tree of decisions. Its nodes are states of the agenda, with the candidate on top
+and a way on for either outcome; an occurrence walks the tree by its own dice. Ways are added where several occurrences go; the others are merged one by one.
 
 Characters without a piece become byte pieces. Decoding joins the pieces' bytes; every segmentation decodes to the text exactly. The marker character
 U+2581 itself is encoded through its bytes, so it is not mistaken for a blank.
@@ -19,6 +22,7 @@ import functools
 import heapq
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +34,30 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+NONE = float("-inf")
+#: Longer chunks are merged one by one. Chunks that are worked on at once.
+MANY, SLAB = 48, 500_000
+#: Odd factors of the keyed hash, and of its finisher.
+SEED, VARIANT, PLACE, LENGTH, PIECE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3
+M1, M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def finished(x: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit integers (splitmix64's finisher)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(M1)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(M2)
+    return x ^ (x >> np.uint64(31))
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
 class Codec:
     """Encoder and decoder of one model."""
 
-    def __init__(self, model: str | bytes = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, remembered: int = 500_000):
+    def __init__(self, model: str | bytes = MODEL, dropout: float = 0.1, seed: int = 0, remembered: int = 200_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model) if isinstance(model, bytes) else sentencepiece.SentencePieceProcessor(model_file=model)
@@ -58,15 +80,14 @@ class Codec:
         joins.sort()
         self.pair_keys = np.array([*(k for k, _ in joins), 2**62], np.int64)
         self.pair_ids = np.array([*(i for _, i in joins), 0], np.int64)
-        self.pair_scores = np.array([*(sp.get_score(i) for _, i in joins), 0.0])
+        self.pair_scores = np.array([*(sp.get_score(i) for _, i in joins), 0.0], np.float32)
         self.char_ids = np.full(0x110000, -1, np.int64)
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.char_ids[ord(p)] = i
-        self.dropout, self.seed, self.variants, self.remembered = dropout, seed, variants, remembered
+        self.dropout, self.seed, self.remembered = dropout, seed, remembered
         self.below = int(dropout * 2**64)
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
-        self.n_known = 0
+        self._forget()
         # a text may be cut before a marker that follows another character, and around line ends, if no piece reaches across
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         lines = any("\n" in p and len(p) > 1 for p in self.ids)
@@ -90,7 +111,7 @@ class Codec:
             _, i, both = heapq.heappop(agenda)
             if part[i] is None or (j := right[i]) >= n or part[i] + part[j] != both:
                 continue  # a neighbour has changed since
-            if self.below and int(self._dice(variant, i, len(part[i]), self.ids[both])) < self.below:
+            if self.below and self._die(variant, i, len(part[i]), self.ids[both]) < self.below:
                 continue
             part[i], part[j] = both, None
             right[i] = right[j]
@@ -106,14 +127,18 @@ class Codec:
                 out += [k] if k is not None else [self.byte_ids[b] for b in p.encode()]
         return tuple(out)
 
-    def _dice(self, variant, place, length, piece):
-        """Keyed hash of a candidate: variant, place and length of its left part, piece it would give. Scalars or arrays."""
-        with np.errstate(over="ignore"):
-            x = np.uint64(self.seed % 2**64) * np.uint64(0xD6E8FEB86659FD93) + np.asarray(variant, np.uint64) * np.uint64(0xA0761D6478BD642F)
-            x = x + np.asarray(place, np.uint64) * np.uint64(0xE7037ED1A0B428DB) + np.asarray(length, np.uint64) * np.uint64(0x8EBC6AF09C88C6E3) + np.asarray(piece, np.uint64) * np.uint64(0x589965CC75374CC3)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            return x ^ (x >> np.uint64(31))
+    def _drawn(self, turned, place, length, piece) -> np.ndarray:
+        """Keyed hashes of candidates: _turned() of the variants, place and length of the left part, piece it would give. _die() is the same for one candidate."""
+        return finished(turned + np.asarray(place, np.uint64) * np.uint64(PLACE) + np.asarray(length, np.uint64) * np.uint64(LENGTH) + np.asarray(piece, np.uint64) * np.uint64(PIECE))
+
+    def _turned(self, variant) -> np.ndarray:
+        return np.asarray(variant).astype(np.uint64) * np.uint64(VARIANT) + np.uint64(self.seed * SEED % 2**64)
+
+    def _die(self, variant: int, place: int, length: int, piece: int) -> int:
+        x = (self.seed * SEED + variant * VARIANT + place * PLACE + length * LENGTH + piece * PIECE) % 2**64
+        x = (x ^ (x >> 30)) * M1 % 2**64
+        x = (x ^ (x >> 27)) * M2 % 2**64
+        return x ^ (x >> 31)
 
     def merged_many(self, chunks: list[str], variants: np.ndarray) -> list[tuple[int, ...]]:
         """merged() of many chunks at once: each round takes the head of every chunk's agenda. Chunks of one length are worked on together."""
@@ -121,7 +146,7 @@ class Codec:
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         for length in np.unique(lengths).tolist():
             rows = np.flatnonzero(lengths == length)
-            if length > 48:
+            if length > MANY:
                 for r in rows.tolist():
                     out[r] = self.merged(chunks[r], int(variants[r]))
                 continue
@@ -134,7 +159,7 @@ class Codec:
         key = a * len(self.bytes_of) + b
         at = np.searchsorted(self.pair_keys, key)
         there = self.pair_keys[at] == key
-        return np.where(there, self.pair_scores[at], -np.inf), self.pair_ids[at]
+        return np.where(there, self.pair_scores[at], np.float32(NONE)), self.pair_ids[at]
 
     def _together(self, chunks, variants, rows, length, out) -> None:
         points = np.array([chunks[r] for r in rows.tolist()], dtype=f"U{length}").view(np.uint32).reshape(len(rows), length)
@@ -144,93 +169,158 @@ class Codec:
             out[r] = self.merged(chunks[r], int(variants[r]))
         rows, part = rows[~odd], part[~odd]
         n = len(rows)
-        variant = variants[rows]
-        sizes = np.full(n, length)
-        # starts of the parts; one more column, so that a part's length is the difference
-        start = np.broadcast_to(np.arange(length + 1), (n, length + 1)).copy()
-        score, joint = self._pair(part[:, :-1], part[:, 1:]) if length > 1 else (np.zeros((n, 0)), np.zeros((n, 0), np.int64))
+        # a part stands at its first place; the column after the last place lies beyond either end and joins with nothing
+        part = np.concatenate([part, np.full((n, 1), len(self.bytes_of) ** 2)], axis=1)
+        score, joint = np.full((n, length + 1), NONE, np.float32), np.zeros((n, length + 1), np.int64)
+        score[:, :-1], joint[:, :-1] = self._pair(part[:, :-1], part[:, 1:])
+        right = np.broadcast_to(np.arange(1, length + 2), (n, length + 1)).copy()
+        left = right - 2
+        turned = self._turned(variants[rows])
         live = np.arange(n)
-        columns = np.arange(length)
-        ends = [None] * n
         while len(live):
-            if score.shape[1]:
-                best = score.argmax(axis=1)
-                i = np.arange(len(live))
-                going = score[i, best] > -np.inf
+            now = score[live]
+            best = now.argmax(axis=1)
+            going = now[np.arange(len(live)), best] > NONE
+            live, best = live[going], best[going]
+            piece, after = joint[live, best], right[live, best]
+            if self.below:
+                skip = self._drawn(turned[live], best, after - best, piece) < np.uint64(self.below)
+                score[live[skip], best[skip]] = NONE
+                r, b, j, piece = live[~skip], best[~skip], after[~skip], piece[~skip]
             else:
-                going = np.zeros(len(live), bool)
-            if not going.all():
-                for k in np.flatnonzero(~going).tolist():
-                    ends[live[k]] = tuple(part[k, : sizes[k]].tolist())
-                live, part, start, score, joint, sizes, variant = (x[going] for x in (live, part, start, score, joint, sizes, variant))
-                if not len(live):
-                    break
-                best, i = best[going], np.arange(len(live))
-            piece = joint[i, best]
-            skip = self._dice(variant, start[i, best], start[i, best + 1] - start[i, best], piece) < np.uint64(self.below) if self.below else np.zeros(len(live), bool)
-            score[i[skip], best[skip]] = -np.inf
-            m = np.flatnonzero(~skip)
-            if not len(m):
-                continue
-            b = best[m]
-            p, s, sc, jo = part[m], start[m], score[m], joint[m]
-            p[np.arange(len(m)), b] = piece[m]
-            later = columns[None, :-1] > b[:, None]
-            p[:, :-1] = np.where(later, p[:, 1:], p[:, :-1])
-            later = np.arange(length)[None, :] > b[:, None]
-            s[:, :-1] = np.where(later, s[:, 1:], s[:, :-1])
-            if sc.shape[1] > 1:
-                later = np.arange(sc.shape[1] - 1)[None, :] >= b[:, None]
-                sc[:, :-1] = np.where(later, sc[:, 1:], sc[:, :-1])
-                jo[:, :-1] = np.where(later, jo[:, 1:], jo[:, :-1])
-            sizes[m] -= 1
-            sc[np.arange(len(m)), sizes[m] - 1] = -np.inf
-            for side in (b - 1, b):
-                k = np.flatnonzero((side >= 0) & (side + 1 < sizes[m]))
-                sc[k, side[k]], jo[k, side[k]] = self._pair(p[k, side[k]], p[k, side[k] + 1])
-            part[m], start[m], score[m], joint[m] = p, s, sc, jo
-        for r, e in zip(rows.tolist(), ends, strict=True):
-            out[r] = e
+                r, b, j = live, best, after
+            k, h = right[r, j], left[r, b]
+            part[r, b], part[r, j], score[r, j] = piece, -1, NONE
+            right[r, b], left[r, k] = k, b
+            score[r, b], joint[r, b] = self._pair(piece, part[r, k])
+            score[r, h], joint[r, h] = self._pair(part[r, h], piece)
+        whole = part[:, :-1]
+        ids = whole[whole >= 0].tolist()
+        ends = np.cumsum((whole >= 0).sum(axis=1)).tolist()
+        for r, x, y in zip(rows.tolist(), [0, *ends], ends, strict=False):
+            out[r] = tuple(ids[x:y])
+
+    def _forget(self) -> None:
+        """An empty memory: roots by word; of each node the candidate's share of the hash, the ways on (-1: none yet) and, at the end of a way, its pieces."""
+        n = self.remembered
+        self.roots: dict[str, int] = {}
+        self.states: list[tuple | None] = []
+        self.mix, self.ways = np.zeros(n + 1, np.uint64), np.full((n + 1, 2), -1, np.int32)
+        self.first, self.count = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        self.pool: list[int] = []
+        # the empty chunk stands for a literal marker character
+        self.roots[""] = self._end([self.byte_ids[b] for b in MARK.encode()])
+
+    def _end(self, ids: list[int]) -> int:
+        k = len(self.states)
+        self.states.append(None)
+        self.first[k], self.count[k] = len(self.pool), len(ids)
+        self.pool += ids
+        return k
+
+    def _node(self, parts: tuple[str, ...], scores: tuple[float, ...]) -> int:
+        """A new node: parts of a word and scores of their neighbourships (minus infinity: no joint piece, or skipped)."""
+        best = max(scores, default=NONE)
+        if best == NONE:
+            ids: list[int] = []
+            for p in parts:
+                k = self.ids.get(p)
+                ids += [k] if k is not None else [self.byte_ids[b] for b in p.encode()]
+            return self._end(ids)
+        at, k = scores.index(best), len(self.states)
+        self.states.append((parts, scores, at))
+        self.mix[k] = (sum(map(len, parts[:at])) * PLACE + len(parts[at]) * LENGTH + self.ids[parts[at] + parts[at + 1]] * PIECE) % 2**64
+        return k
+
+    def _root(self, chunk: str) -> int:
+        return self._node(tuple(chunk), tuple(self.scores.get(a + b, NONE) for a, b in zip(chunk, chunk[1:], strict=False)))
+
+    def _way(self, node: int, skipped: int) -> int:
+        """The node after a decision, made now."""
+        parts, scores, at = self.states[node]
+        if skipped:
+            k = self._node(parts, (*scores[:at], NONE, *scores[at + 1 :]))
+        else:
+            both = parts[at] + parts[at + 1]
+            parts = (*parts[:at], both, *parts[at + 2 :])
+            before = (*scores[: at - 1], self.scores.get(parts[at - 1] + both, NONE)) if at else ()
+            after = (self.scores.get(both + parts[at + 1], NONE), *scores[at + 2 :]) if at + 1 < len(parts) else ()
+            k = self._node(parts, before + after)
+        self.ways[node, skipped] = k
+        if (self.ways[node] >= 0).all():
+            self.states[node] = None
+        return k
+
+    def _walked(self, chunks: list[str], turns: np.ndarray, least: int = 3) -> np.ndarray:
+        """The last node of each chunk's way by its own dice; -1 where the memory has no such way. Ways that at least so many chunks ask for are added."""
+        at = np.fromiter(map(self.roots.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(at < 0).tolist()
+        for c, n in Counter(map(chunks.__getitem__, unknown)).items():
+            if n >= least and len(c) <= MANY and len(self.states) < self.remembered:
+                self.roots[c] = self._root(c)
+        at[unknown] = np.fromiter((self.roots.get(chunks[k], -1) for k in unknown), np.int64, len(unknown))
+        turned = self._turned(turns)
+        live = np.flatnonzero(at >= 0)
+        live = live[self.count[at[live]] == 0]
+        while len(live):
+            node = at[live]
+            skipped = (finished(turned[live] + self.mix[node]) < np.uint64(self.below)).astype(np.int64) if self.below else np.zeros(len(live), np.int64)
+            to = self.ways[node, skipped].astype(np.int64)
+            lacking = np.flatnonzero(to < 0)
+            if len(lacking):
+                asked, inverse, n = np.unique(node[lacking] * 2 + skipped[lacking], return_inverse=True, return_counts=True)
+                made = [self._way(a >> 1, a & 1) if k >= least and len(self.states) < self.remembered else -1 for a, k in zip(asked.tolist(), n.tolist(), strict=True)]
+                to[lacking] = np.array(made, np.int64)[inverse]
+            at[live] = to
+            live = live[(to >= 0) & (self.count[to] == 0)]
+        return at
+
+    def _pieces(self, chunks: list[str], turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of chunks, one after another, and their numbers."""
+        at = self._walked(chunks, turns)
+        rest = np.flatnonzero(at < 0)
+        met = np.flatnonzero(at >= 0)
+        merged = self.merged_many([chunks[k] for k in rest.tolist()], turns[rest])
+        sizes = np.zeros(len(at), np.int64)
+        sizes[met] = self.count[at[met]]
+        sizes[rest] = np.fromiter(map(len, merged), np.int64, len(merged))
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.int32)
+        out[spans(starts[met], sizes[met])] = np.array(self.pool, np.int32)[spans(self.first[at[met]], sizes[met])]
+        out[spans(starts[rest], sizes[rest])] = np.fromiter(itertools.chain.from_iterable(merged), np.int32)
+        if len(self.states) >= self.remembered and 2 * len(rest) > len(at):
+            self._forget()  # full and of little use: it begins anew with the next chunks
+        return out, sizes
 
     def _cut(self, text: str, key: object) -> tuple[list, list]:
-        """Chunks of a text and their variants; a variant of -1 stands for the marker character itself."""
+        """Chunks of a text and their variants, 64 bits each; an empty chunk stands for the marker character itself."""
         chunks: list[str] = []
-        turns: list[int] = []
+        turns: list[np.ndarray] = []
         for k, bare in enumerate(text.split(MARK)):
             if k:
-                chunks.append(MARK), turns.append(-1)
+                chunks.append(""), turns.append(np.zeros(1, np.uint64))
             # the model puts a marker before a text; after a literal marker there is none to put
             found = self.cuts.findall((MARK if not k else "") + bare.replace(" ", MARK))
             first = np.uint64(xxhash.xxh3_64_intdigest(f"{key}:{k}", self.seed))
-            # multiply and shift the chunk's number: a keyed hash of document and place
-            turn = ((np.arange(len(found), dtype=np.uint64) + first) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            # a keyed hash of document and place
+            turns.append(finished((np.arange(len(found), dtype=np.uint64) + first) * np.uint64(0x9E3779B97F4A7C15)))
             chunks += found
-            turns += (turn % np.uint64(self.variants)).tolist()
         return chunks, turns
 
     def encode_many(self, texts: list[str | None], keys) -> list[np.ndarray | None]:
         """Piece ids (int32) of texts; keys tell apart documents with equal text."""
-        if self.n_known > self.remembered:
-            for k in self.known:
-                k.clear()
-            self.n_known = 0
-        known = self.known
-        own = tuple(self.byte_ids[b] for b in MARK.encode())
-        cuts, found, missing = [], [], set()
+        chunks, turns, ends = [], [np.zeros(0, np.uint64)], [0]
         for t, k in zip(texts, keys, strict=False):
-            chunks, turns = self._cut(t, k) if t else ([], [])
-            pieces = [known[v].get(c) if v >= 0 else own for c, v in zip(chunks, turns, strict=True)]
-            cuts.append((chunks, turns)), found.append(pieces)
-            if None in pieces:
-                missing.update((v, c) for c, v, p in zip(chunks, turns, pieces, strict=True) if p is None)
-        if missing:
-            order = list(missing)
-            new = self.merged_many([c for _, c in order], np.fromiter((v for v, _ in order), np.int64, len(order)))
-            for (v, c), ids in zip(order, new, strict=True):
-                known[v][c] = ids
-            self.n_known += len(order)
-            found = [pieces if None not in pieces else [known[v][c] if p is None else p for c, v, p in zip(*cut, pieces, strict=True)] for cut, pieces in zip(cuts, found, strict=True)]
-        return [None if t is None else np.fromiter(itertools.chain.from_iterable(p), np.int32) for t, p in zip(texts, found, strict=True)]
+            if t:
+                found, own = self._cut(t, k)
+                chunks += found
+                turns += own
+            ends.append(len(chunks))
+        turned = np.concatenate(turns)
+        done = [self._pieces(chunks[a : a + SLAB], turned[a : a + SLAB]) for a in range(0, len(chunks), SLAB)]
+        ids = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in done)])
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in done)]))])[ends].tolist()
+        return [None if t is None else ids[a:b] for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, text: str, key: object = 0) -> np.ndarray:
         return self.encode_many([text], [key])[0]
@@ -244,9 +334,9 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def shared_codec(proto: bytes, dropout: float, seed: int, variants: int) -> Codec:
+def shared_codec(proto: bytes, dropout: float, seed: int) -> Codec:
     """One codec per worker process: what it remembers serves all its tasks."""
-    return Codec(proto, dropout, seed, variants)
+    return Codec(proto, dropout, seed)
 
 
 def by_size(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -267,9 +357,10 @@ def _model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, digests_only: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 0, digests_only: bool = False) -> DataFrame:
     """The input's columns with text replaced by pieces (array of int), n_pieces and lossless (whether decoding gives the text back).
 
+    Without a doc_id the text itself is what tells documents apart.
     digests_only: pieces_xxh (xxh3 of the int32 ids) in place of pieces. The model (half a megabyte) goes with the task.
     """
     proto = _model_bytes(model)
@@ -277,11 +368,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = 0.1,
     named = "doc_id" if "doc_id" in docs.columns else None
 
     def work(batches):
-        codec = shared_codec(proto, dropout, seed, variants)
+        codec = shared_codec(proto, dropout, seed)
         for whole in batches:
             for b in by_size(whole):
                 texts = b.column("text").to_pylist()
-                pieces = codec.encode_many(texts, b.column(named).to_pylist() if named else itertools.repeat(0))
+                pieces = codec.encode_many(texts, b.column(named).to_pylist() if named else map(xxhash.xxh3_64_intdigest, (t or "" for t in texts)))
                 n = [0 if x is None else len(x) for x in pieces]
                 right = [None if x is None else codec.decode(x) == t for x, t in zip(pieces, texts, strict=True)]
                 digests = [None if x is None else xxhash.xxh3_64_hexdigest(x.tobytes()) for x in pieces] if digests_only else []
@@ -300,7 +391,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     others = [c for c in encoded.columns if c not in ("text", "pieces")]
 
     def work(batches):
-        codec = shared_codec(proto, 0.0, 0, 1)
+        codec = shared_codec(proto, 0.0, 0)
         for b in batches:
             texts = [None if x is None else codec.decode(x) for x in b.column("pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in others] + [pa.array(texts, pa.string())], names=[*others, "text"])

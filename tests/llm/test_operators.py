@@ -285,6 +285,26 @@ def test_sentencepiece_codec():
     assert varied.merged_many(words_, v) == [varied.merged(w, int(k)) for w, k in zip(words_, v, strict=True)]
 
 
+def test_merges_are_skipped_by_document_and_chunk():
+    c = sp_codec.Codec(dropout=0.1, seed=5)
+    word = "▁segmentation"
+    text = " ".join([word[1:]] * 400)
+    runs = c.encode_many([text] * 25, range(25))
+    plain = sp_codec.Codec(dropout=0.0).merged(word, 0)
+    cuts = Counter()
+    for k, run in enumerate(runs):
+        chunks, turns = c._cut(text, k)
+        # what the tree of decisions gives is what the agenda gives with the chunk's own dice
+        each = [c.merged(x, int(t)) for x, t in zip(chunks, np.concatenate(turns), strict=True)]
+        assert run.tolist() == [i for x in each for i in x]
+        cuts.update(each)
+    rnd = random.Random(2)
+    other = Counter(c.merged(word, rnd.getrandbits(64)) for _ in range(10_000))
+    assert len(cuts) > 20 and abs(cuts[plain] - other[plain]) < 300 and 0 < cuts[plain] < 10_000
+    small = sp_codec.Codec(dropout=0.1, seed=5, remembered=30)  # most chunks find no way
+    assert [x.tolist() for x in small.encode_many([text] * 25, range(25))] == [x.tolist() for x in runs]
+
+
 def test_sentencepiece_frames(docs, corpus, empty):
     e = sp_codec.encode_documents(docs)
     assert e.where("lossless = false").count() == 0
