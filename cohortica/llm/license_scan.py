@@ -2,8 +2,9 @@
 
 Model: multinomial logistic regression over sparse binary word n-grams (one and two words), classes = licence families and "unknown", trained on
 the driver from fixed notices and their variants (a few hundred rows, no corpus rows). Probabilities are calibrated by a temperature fitted on
-held-out variants. A paragraph (a line of the text) is of a family if that class is likeliest, its calibrated probability reaches a
-threshold, and comparison with the family's templates confirms it: it holds enough of the n-grams of one of them, or of the template's name part.
+held-out variants. A paragraph (a line of the text, or a block of lines between blank lines) is of a family if that class is likeliest, its calibrated probability
+reaches a threshold, and comparison with the family's templates confirms it: it holds enough of the n-grams of one of them, or all n-grams of one of the
+family's names. A block counts where none of its lines is confirmed for its family by itself.
 
 Scan: paragraphs without any of the words that a confirmed notice must have (a rule derived from the templates, which loses nothing) go; the rest are cut into distinct n-grams, which meet the weight table by a broadcast equi-join (the table's size is fixed by the templates,
 not by the corpus); logits are sums per paragraph, combined before the shuffle.
@@ -20,7 +21,7 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortica.llm.common import ascii_lower, pinned
@@ -40,6 +41,21 @@ TEMPLATES = {
     "cc0": ["To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal.", "Released into the public domain under CC0."],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced without permission of the publisher.", "Copyright by the authors. All rights reserved."],
 }
+#: Names of the licences and other short notices, which confirm a paragraph that holds all their n-grams.
+NAMES = {
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"],
+    "mit": ["MIT License"],
+    "gpl-3.0": ["GNU General Public License v3", "GNU General Public License v3.0", "GNU General Public License, version 3", "GPL version 3", "GPLv3", "GPL-3.0"],
+    "gpl-2.0": ["GNU General Public License v2", "GNU General Public License v2.0", "GNU General Public License, version 2", "GPL version 2", "GPLv2", "GPL-2.0"],
+    "lgpl": ["GNU Lesser General Public License", "LGPL version 3", "LGPL version 2.1", "LGPLv3", "LGPL-2.1", "LGPL-3.0"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause"],
+    "mpl-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL-2.0"],
+    "cc-by": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0"],
+    "cc0": ["CC0 1.0", "CC0-1.0"],
+    "proprietary": ["All rights reserved."],
+}
 #: Sentences that use the same words and grant nothing.
 ORDINARY = [
     "The driver showed a valid license to the officer.", "The version of the song released in 2.0 format was free of charge.", "He studied at MIT and worked for the public.", "General conditions of the work are met by the following group.",
@@ -87,6 +103,13 @@ def variants(seed: int, each: int) -> list[tuple[str, str]]:
     return rows
 
 
+def named(seed: int, each: int) -> list[tuple[str, str]]:
+    """Rows (text, class) of the names: alone, and with a few words around."""
+    rnd, around = random.Random(seed), sorted({w for s in ORDINARY for w in s.split()})
+    some = lambda k: rnd.sample(around, rnd.randint(0, 4) if k % 3 == 2 else 0)
+    return [(" ".join([*some(k), s, *some(k)]), f) for f, ss in NAMES.items() for s in ss for k in range(each)]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -95,7 +118,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 @functools.lru_cache
 def train(seed: int = 1, each: int = 9, rounds: int = 400, decay: float = 1e-4) -> dict:
     """Weights by n-gram, classes and temperature."""
-    rows, held = variants(seed, each), variants(seed + 1, each)
+    rows, held = variants(seed, each) + named(seed, each), variants(seed + 1, each) + named(seed + 1, each)
     classes = [*TEMPLATES, UNKNOWN]
     vocabulary = sorted({g for t, c in rows for g in grams_of(t) if c != UNKNOWN} | {g for t in ORDINARY for g in grams_of(t)})
     at = {g: i for i, g in enumerate(vocabulary)}
@@ -138,39 +161,73 @@ def key_words(overlap: float) -> tuple[str, ...]:
             if touched() > (1 - overlap) * len(g) + 1e-9:
                 break
             chosen.add(w)
+    # a name is held as a whole, so one of its words will do
+    for s in (s for ss in NAMES.values() for s in ss):
+        own = sorted({x for x in grams_of(s) if " " not in x}, key=lambda w: (common.get(w, 0), -len(w), w))
+        if not chosen & set(own):
+            chosen.add(own[0])
     return tuple(sorted(chosen))
 
 
+def name_bits() -> tuple[dict[str, int], dict[str, list[int]]]:
+    """A number for each n-gram of the names, and the names of each family as sets of these bits."""
+    at = {g: i for i, g in enumerate(sorted({g for ss in NAMES.values() for s in ss for g in grams_of(s)}))}
+    return at, {f: [sum(1 << at[g] for g in grams_of(s)) for s in ss] for f, ss in NAMES.items()}
+
+
 def weight_table(spark: SparkSession, model: dict) -> DataFrame:
-    """gram, w (weight of each class), t (for each template: 1 if the template has the gram). A few thousand rows, fixed by the templates."""
+    """gram, w (weight of each class), t (for each template: 1 if the template has the gram), b (the gram's bit among those of the names, 60 to a number). A few thousand rows, fixed by the templates."""
     templates = [grams_of(s) for ss in TEMPLATES.values() for s in ss]
-    rows = [(g, [float(v) for v in model["weights"][i]], [int(g in t) for t in templates]) for i, g in enumerate(model["vocabulary"])]
-    return spark.createDataFrame(rows, "gram string, w array<double>, t array<int>")
+    bits = name_bits()[0]
+    bit = lambda g: [1 << bits[g] % 60 if g in bits and bits[g] // 60 == k else 0 for k in range(-(-len(bits) // 60))]
+    rows = [(g, [float(v) for v in model["weights"][i]], [int(g in t) for t in templates], bit(g)) for i, g in enumerate(model["vocabulary"])]
+    return spark.createDataFrame(rows, "gram string, w array<double>, t array<int>, b array<bigint>")
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text_key, block (number of its first line), place (of a line in its block; -1: all lines of the block), line. Numbers from 0."""
+    d = docs.where("text is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
+    blank = lambda x: F.translate(x, " \t\r", "") == ""
+    # a block starts with each blank line, and the line end before it is where the text is split
+    starts = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when((i == 0) | blank(x), i)), lambda i: i.isNotNull())
+    d = d.withColumn("b", F.explode(F.arrays_zip(starts.alias("block"), F.split("text", r"\n(?=[ \t\r]*(?:\n|\z))").alias("lines")))).select("row", "doc_id", "text_key", "b.block", "b.lines")
+    d = pinned(d, "each", F.split("lines", "\n"))
+    own = F.transform("each", lambda x, i: F.struct(i.alias("place"), x.alias("line")))
+    several = F.size(F.filter("each", lambda x: ~blank(x))) > 1
+    whole = F.when(several, F.array(F.struct(F.lit(-1).alias("place"), F.col("lines").alias("line")))).otherwise(F.slice(own, 1, 0))
+    d = d.select("row", "doc_id", "text_key", "block", F.explode(F.concat(own, whole)).alias("p"))
+    return d.select("row", "doc_id", "text_key", "block", "p.place", "p.line").where("line <> ''")
 
 
 def scan_paragraphs(docs: DataFrame, threshold: float = 0.9, overlap: float = 0.6) -> DataFrame:
-    """doc_id, text_key, paragraph (from 0), family, probability, similarity of every paragraph that is confirmed as a licence notice."""
+    """doc_id, text_key, paragraph (number of its first line, from 0), family, probability, similarity of every paragraph that is confirmed as a licence notice."""
     model = train()
     families, k = list(TEMPLATES), len(model["classes"])
     owner = [f for f in families for _ in TEMPLATES[f]]
     sizes = [len(grams_of(s)) for ss in TEMPLATES.values() for s in ss]
-    p = docs.where("text is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where("line <> ''")
-    g = grams(p, key_words(overlap))
+    g = grams(paragraphs(docs), key_words(overlap))
+    bits, names_of = name_bits()
+    n_bits = -(-len(bits) // 60)
     table = weight_table(docs.sparkSession, model)
-    table = table.select("gram", *[F.col("w")[i].alias(f"w{i}") for i in range(k)], *[F.col("t")[j].alias(f"t{j}") for j in range(len(owner))])
-    met = g.join(F.broadcast(table), "gram").groupBy("row", "doc_id", "text_key", "paragraph")
-    s = met.agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(k)], *[F.sum(f"t{j}").alias(f"t{j}") for j in range(len(owner))])
+    table = table.select("gram", *[F.col("w")[i].alias(f"w{i}") for i in range(k)], *[F.col("t")[j].alias(f"t{j}") for j in range(len(owner))], *[F.col("b")[j].alias(f"b{j}") for j in range(n_bits)])
+    met = g.join(F.broadcast(table), "gram").groupBy("row", "doc_id", "text_key", "block", "place")
+    s = met.agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(k)], *[F.sum(f"t{j}").alias(f"t{j}") for j in range(len(owner))], *[F.bit_or(f"b{j}").alias(f"b{j}") for j in range(n_bits)])
     bias = model["weights"][-1]
     logits = F.array(*[F.col(f"w{i}") + F.lit(float(bias[i])) for i in range(k)])
     s = s.withColumn("logits", logits).withColumn("top", F.array_max("logits"))
     total = F.aggregate("logits", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))
     s = s.withColumn("class", F.array_position("logits", F.col("top")).cast("int")).withColumn("probability", 1 / total)
     names = F.array(*map(F.lit, model["classes"]))
-    similarity = lambda f: F.greatest(*[F.col(f"t{j}") / F.lit(sizes[j]) for j in range(len(owner)) if owner[j] == f], F.lit(0.0))
+    part = lambda b, j: b >> 60 * j & (1 << 60) - 1
+    holds = lambda b: functools.reduce(lambda x, y: x & y, [F.col(f"b{j}").bitwiseAND(F.lit(part(b, j)).cast("long")) == F.lit(part(b, j)).cast("long") for j in range(n_bits)])
+    has_name = lambda f: functools.reduce(lambda x, y: x | y, map(holds, names_of[f])).cast("int").cast("double")
+    similarity = lambda f: F.greatest(has_name(f), *[F.col(f"t{j}") / F.lit(sizes[j]) for j in range(len(owner)) if owner[j] == f], F.lit(0.0))
     like = F.coalesce(*[F.when(F.col("family") == f, similarity(f)) for f in families], F.lit(0.0))
     s = s.withColumn("family", F.element_at(names, F.col("class"))).withColumn("similarity", like)
     sure = (F.col("family") != UNKNOWN) & (F.col("probability") >= threshold) & (F.col("similarity") >= overlap)
-    return s.where(sure).select("doc_id", "text_key", "paragraph", "family", "probability", "similarity").distinct()
+    s = s.where(sure).select("doc_id", "text_key", "block", "place", "family", "probability", "similarity").distinct()
+    s = s.withColumn("last", F.max("place").over(Window.partitionBy("doc_id", "text_key", "block", "family"))).where("place >= 0 or last < 0")
+    return s.select("doc_id", "text_key", (F.col("block") + F.greatest("place", F.lit(0))).alias("paragraph"), "family", "probability", "similarity")
 
 
 def scan_licenses(docs: DataFrame, **options) -> DataFrame:

@@ -73,6 +73,18 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_short_and_wrapped_notices(spark):
+    want = {"All rights reserved.": "proprietary", "MIT License": "mit", "Apache License Version 2.0": "apache-2.0", "GNU General Public License v3": "gpl-3.0", "BSD 3-Clause License": "bsd"}
+    want |= {s: f for f, ss in license_scan.NAMES.items() for s in ss}
+    wrapped = "Title\n \t\n * Permission is hereby granted, free of charge,\n * to any person obtaining a copy\n * of this software and associated\n * documentation files, to deal in\n * the Software without restriction.\n\nBody of the text."
+    rows = [*want.items(), (wrapped, "mit"), ("First line.\n\nMIT License\nsecond line", "mit"), ("MIT\n\nLicense", None), ("All the rights of the public were reserved.", None), ("He studied at MIT and got a license.", None), ("\n" * 5000, None)]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_notices, r.families) for r in license_scan.scan_licenses(d).collect()}
+    assert {rows[i][0]: x for i, x in got.items()} == {t: (int(f is not None), f) for t, f in rows}
+    # the words of a wrapped notice are needed in one block, and it is placed at the block's first line
+    assert [r.paragraph for r in license_scan.scan_paragraphs(d.where(F.col("text") == wrapped)).collect()] == [1]
+
+
 def test_license_model_on_held_out_variants(spark):
     rows = license_scan.variants(99, 4)
     d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
