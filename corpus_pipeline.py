@@ -26,8 +26,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays. Similarity 0.8, five-word shingles; a pair just at 0.8 may be missed with a chance of one in ten millions."""
-    return ngram_join.keep_one(docs, jaccard=0.8, width=5, miss=1e-7).select(*COLUMNS)
+    """Of each group of near copies the document with the smallest id stays. Similarity 0.8, five-word shingles; no pair is missed."""
+    return ngram_join.keep_one(docs, jaccard=0.8, width=5).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -371,6 +371,16 @@ def test_mixing(docs, corpus, empty):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_pipeline_joins_exactly(docs, monkeypatch):
+    import corpus_pipeline
+
+    asked = []
+    monkeypatch.setattr(ngram_join, "keep_one", lambda d, jaccard, width, miss=0.0: asked.append((jaccard, width, miss)) or d)
+    corpus_pipeline.keep_one_of_near_copies(None, docs, SF)
+    # D + 1 segments, of which linked sets share one for certain
+    assert asked == [(0.8, 5, 0.0)] and all(ngram_join.n_segments(k, asked[0][2]) == k + 1 for k in range(1, 300))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
