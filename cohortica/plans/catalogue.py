@@ -325,7 +325,7 @@ def stability_report(s, d):
 
 @query
 def macro_as_of(s, d):
-    m = B.macro(s, d).where(F.col("month") % 4 == 1).select("month", "price_index")
+    m = B.macro(s, d).select("month", F.when(F.col("month") % 4 == 1, F.col("price_index")).alias("price_index"))
     c = B.cell_table(s, d).groupBy((F.col("origination_month") + F.col("age")).alias("month")).agg(F.sum("loan_months").alias("loan_months"))
     return P.as_of(c, m, "month", ["price_index"]).withColumn("price_index", F.round("price_index", 6))
 

@@ -74,3 +74,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["check-calendar", *common], spark).count() == 13
     assert cli.main(["profile", "--input", str(tmp_path / "cells"), "--covariates", "segment"], spark).count() == 5
     assert "segment" in capsys.readouterr().out
+
+
+def test_macro_as_of_reads_every_month(spark, monkeypatch):
+    from cohortica.operators import panel
+    from cohortica.plans import catalogue, standin
+
+    d, seen, whole = "/root/testdata/sf0.001", [], panel.as_of
+    monkeypatch.setattr(panel, "as_of", lambda left, right, *a: seen.append((left, right)) or whole(left, right, *a))
+    got = sorted(map(tuple, catalogue.macro_as_of(spark, d).collect()), key=str)
+    left, right = seen[0]
+    assert right.count() == standin.macro(spark, d).count()
+    # months without a value are passed over as if they were not there
+    few = whole(left, right.where("price_index is not null"), "month", ["price_index"]).selectExpr("month", "loan_months", "round(price_index, 6)")
+    assert got == sorted(map(tuple, few.collect()), key=str)
