@@ -4,26 +4,26 @@ A document's set holds its distinct word shingles as 64-bit hashes. Equal sets b
 (intersection >= J * union) if they agree in most elements, and this gives keys of which linked sets share one:
 
 * light sets (size up to a boundary) enumerate their subsets of fixed size: all ways to leave out as many elements as a partner may lack;
-* heavy sets put their elements into inverted lists by segments: within a band of sizes linked sets differ in at most D elements, so of D + 1 segments
-  (by hash) one is equal in both, and the list's key is the hash of all elements of the segment. Lists of single shingles would do as well, but a line
-  that a third of all documents share would fill one list; a segment holds about nine shingles and is only shared by near copies.
+* heavy sets are put into inverted lists of single shingles, rarest first: of the n shingles of a set, in one order for all sets, a partner must hold one
+  of the first n - ceil(J * n) + 1, so only these lists are kept and scanned. The order is by frequency in the corpus, so what a third of all documents
+  share comes last and fills no list. Frequencies are counted over all documents into a sketch of fixed size; any order gives right results.
 
-The boundary is chosen by cost: rows that enumeration gives against rows of the lists, weighed, from the histogram of small sizes. Lists with two or more
-different sets are scanned: they tie sets to clusters (star edges to the list's smallest set), each cluster's sets come together once, and
-inside a cluster overlaps are counted by scanning shingle lists, with exact intersection sizes. Large clusters are dealt out as pairs of bounded chunks.
-Pairs that are already connected are not counted again, for only components are asked for.
+The boundary is chosen by cost: rows that enumeration gives against rows of the lists and what is met in scanning them, from list lengths measured in the sketch.
 
-At lower thresholds segments get short, and lines that many documents share begin to fill lists again. With `miss` above 0 fewer, longer segments are used: D elements that fall by
-hash leave one of them untouched but for a chance of at most `miss`, and that only for pairs right at the threshold.
+Lists are scanned in order of key. A list of up to `short` sets gives its pairs that agree in size; longer ones, near copies in great number, are tied to the list's smallest set,
+so that rows stay in proportion. A key that the sketch counts often is cut into pieces by hash, tied to one another, so no list is one task. Pairs are
+tested with a bitmap of parities of each set (differing bits never outnumber differing shingles, so no link is lost). What is left forms clusters; each
+cluster's sets come together once, and inside a cluster overlaps are counted by scanning shingle lists, with exact intersection sizes. Large clusters are dealt out as pairs
+of bounded chunks. Pairs that are already connected are not counted again, for only components are asked for.
 
 Edges: null text and text without words: empty set, linked with nothing, a component of its own; fewer words than a shingle has: the whole sequence is the one
-shingle; repeated rows (equal doc_id) are documents of one component; extra columns are ignored; an empty table gives an empty result.
+shingle; rows with a null doc_id link like others, and a component's id is its smallest doc_id that is not null (null if there is none); repeated rows (equal
+doc_id) are documents of one component; extra columns are ignored; an empty table gives an empty result.
 Sets are told apart by 64 bits, checked by 64 more: if two sets ever collide, the pass runs again with the next seed.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from cohortica.llm.common import components, cut
 
 U = np.uint64
+#: Counters of the sketch of frequencies, as a power of two.
+BITS = 18
 GOLD, M1, M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 
@@ -60,48 +62,41 @@ def shingles(text: str, width: int, seed: int = 0) -> np.ndarray:
     return np.unique(x)
 
 
-def bands(jaccard: float, most: int) -> np.ndarray:
-    """Lower ends of size bands; a set at least J times as large as another is in the same band or the next."""
-    b = [1]
-    while b[-1] <= most:
-        b.append(math.floor(b[-1] / jaccard) + 1)
-    return np.array(b)
+class Order:
+    """One order of all shingles, by how many documents hold them: a sketch of 2 ** BITS counters, each in a 64th of a power of two."""
 
+    def __init__(self, counts: np.ndarray):
+        self.level = np.round(np.log2(1 + counts) * 64).astype(np.uint16)
+        self.usual = float(counts.mean())
+        #: Keys counted more often than this are cut into pieces of about this many rows.
+        self.often = max(20_000.0, 8 * self.usual)
 
-BANDS: dict[float, np.ndarray] = {}
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        """Documents that hold each shingle: never fewer than there are, but for rounding."""
+        return np.exp2(self.level[(x & U(2**BITS - 1)).astype(np.int64)] / 64) - 1
 
+    def first(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n rarest shingles of a set, ties by hash."""
+        level = self.level[(x & U(2**BITS - 1)).astype(np.int64)]
+        if n < len(x):
+            least = np.partition(level, n - 1)[n - 1]
+            x, level = x[level <= least], level[level <= least]
+        return x[np.lexsort((x, level))[:n]]
 
-@functools.lru_cache(maxsize=None)
-def n_segments(differ: int, miss: float) -> int:
-    """Segments for sets that differ in so many elements at most: one more than that, which leaves one segment untouched for certain; or, where a chance of
-    missing a pair right at the threshold is allowed, the fewest for which all are touched with no more than that chance: elements fall into segments by hash, and
-    segments being touched are negatively associated, so (1 - (1 - 1/m)^differ)^m bounds it."""
-    m = differ + 1
-    while miss > 0 and m > 2 and (m - 1) * math.log1p(-((1 - 1 / (m - 1)) ** differ)) <= math.log(miss):
-        m -= 1
-    return m
 
+def n_lists(size: int, jaccard: float) -> int:
+    """In how many lists a set of a size has to be: a partner lacks floor((1 - J) * size) of its elements at most."""
+    return size - math.ceil(jaccard * size - 1e-9) + 1
 
-def lists_of(x: np.ndarray, jaccard: float, miss: float = 0.0) -> np.ndarray:
-    """Keys of the inverted lists of a heavy set: for its band, and for the band below, as partner of smaller sets."""
-    b = BANDS.setdefault(jaccard, bands(jaccard, 2**31))
-    i = int(np.searchsorted(b, len(x), side="right")) - 1
-    out = []
-    for level in (i - 1, i):
-        if level < 0:
-            continue
-        s = int(b[level + 1]) - 1  # the largest set of this band; with a partner of s / J it differs in at most:
-        d = math.floor(s * (1 + 1 / jaccard) * (1 - jaccard) / (1 + jaccard) + 1e-9)
-        n = n_segments(d, miss)
-        segment = (mixed(x + U(level)) % U(n)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        starts = np.searchsorted(segment[order], np.arange(n))
-        sums = np.concatenate([np.cumsum(mixed(x[order] * GOLD)), [U(0)]])
-        upto = sums[np.append(starts[1:], len(x)) - 1]
-        upto[np.append(starts[1:], len(x)) == 0] = 0
-        own = upto - np.concatenate([[U(0)], upto[:-1]])
-        out.append(mixed(own + np.arange(n, dtype=U) * M1 + U(level) * M2))
-    return np.concatenate(out)
+
+def lists_of(x: np.ndarray, jaccard: float, order: Order) -> np.ndarray:
+    """Keys of the inverted lists of a heavy set."""
+    return order.first(x, n_lists(len(x), jaccard))
+
+
+def parities(x: np.ndarray) -> np.ndarray:
+    """1,024 bits, each the parity of the number of shingles that fall on it."""
+    return np.packbits(np.bincount((mixed(x ^ M2) & U(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1).view(np.int64)
 
 
 def subsets_of(x: np.ndarray, jaccard: float) -> np.ndarray:
@@ -119,50 +114,160 @@ def n_subsets(size: int, jaccard: float) -> int:
     return sum(math.comb(size, k) for k in range(size - math.ceil(jaccard * size - 1e-9) + 1))
 
 
-def boundary(histogram: dict[int, int], jaccard: float, scan_weight: float = 2.0) -> int:
-    """The size up to which sets enumerate subsets: least rows overall, a list entry counted scan_weight times, for it is scanned against the entries around it."""
-    b = bands(jaccard, 64)
-    lists = lambda s: sum(math.floor((int(b[k + 1]) - 1) / jaccard * (1 - jaccard) + 1e-9) + 1 for k in (np.searchsorted(b, s, side="right") - 2, np.searchsorted(b, s, side="right") - 1) if k >= 0)
+def boundary(sets: dict[int, int], scanned: dict[int, float], jaccard: float) -> int:
+    """The size up to which sets enumerate subsets: least cost overall. sets: how many there are by size (30 at most); scanned: what their lists hold in sum."""
     best, cost, least = 1, 0.0, 0.0
     for s in range(2, 31):
-        cost += histogram.get(s, 0) * (n_subsets(s, jaccard) - scan_weight * lists(s))
-        if cost < least:
+        cost += sets.get(s, 0) * (n_subsets(s, jaccard) - n_lists(s, jaccard)) - scanned.get(s, 0.0)
+        if cost <= least:
             best, least = s, cost
     return best
 
 
-def keys_of(x: np.ndarray, jaccard: float, light: int, miss: float = 0.0) -> np.ndarray:
+def keys_of(x: np.ndarray, jaccard: float, light: int, order: Order) -> np.ndarray:
     n = len(x)
     if n > light:
-        return lists_of(x, jaccard, miss)
+        return lists_of(x, jaccard, order)
     # a light set near the boundary may have heavy partners
-    return np.concatenate([subsets_of(x, jaccard), lists_of(x, jaccard, miss)]) if n >= jaccard * (light + 1) - 1e-9 else subsets_of(x, jaccard)
-
-
-def small_sizes(docs: DataFrame, width: int) -> dict[int, int]:
-    """How many texts have so few words that their set may be light (at most 30 numbers come back)."""
+    return np.concatenate([subsets_of(x, jaccard), lists_of(x, jaccard, order)]) if n >= jaccard * (light + 1) - 1e-9 else subsets_of(x, jaccard)
+
+
+def counted_order(docs: DataFrame, width: int, seed: int) -> Order:
+    """The order of the shingles of all documents. A task gives one sketch, in slices; slices are added up one by one, and 2 ** BITS numbers come to the driver at any size of the corpus."""
+    slices = 64
+
+    def count(batches):
+        total = np.zeros(2**BITS, np.int64)
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                with np.errstate(over="ignore"):
+                    np.add.at(total, (shingles(text, width, seed) & U(2**BITS - 1)).astype(np.int64), 1)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in total.reshape(slices, -1)], pa.binary())], names=["slice", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    rows = docs.where("text is not null").select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect()
+    return Order(np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(rows, key=lambda r: r.slice)]) if rows else np.zeros(2**BITS, np.int64))
+
+
+def chosen_boundary(docs: DataFrame, jaccard: float, width: int, seed: int, order: Order) -> int:
+    """boundary() with the sizes and list lengths of all short texts (at most 30 rows come back)."""
+
+    def measure(batches):
+        for b in batches:
+            rows = []
+            for text in b.column("text").to_pylist():
+                with np.errstate(over="ignore"):
+                    x = shingles(text, width, seed)
+                if 0 < len(x) <= 30:
+                    rows.append((len(x), float(np.maximum(order.counts(lists_of(x, jaccard, order)) - order.usual - 1, 0).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.float64())], names=["size", "scanned"])
+
+    # thirty shingles have thirty words and more, which may be of any length, but few texts beyond this are so short of words
     words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
-    short = docs.where(F.length("text") < 2_000).select(F.greatest(F.lit(1), words - width + 1).alias("s")).where("s <= 30")
-    return {r.s: r.n for r in short.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    short = docs.where(F.length("text") < 2_000).where(words < 30 + width).select("text")
+    rows = short.mapInArrow(measure, "size int, scanned double").groupBy("size").agg(F.count("*").alias("n"), F.sum("scanned").alias("scanned")).collect()
+    return boundary({r["size"]: r.n for r in rows}, {r["size"]: r.scanned for r in rows}, jaccard)
 
 
-def keyed_documents(docs: DataFrame, jaccard: float, width: int, light: int, seed: int, miss: float) -> DataFrame:
-    """doc_id, n_shingles, set_key, set_check, keys per document row."""
+def keyed_documents(docs: DataFrame, jaccard: float, width: int, light: int, seed: int, order: Order) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_key, set_check, bits, keys, pieces per document row; keys are null for a set that the task has seen before."""
 
     def work(batches):
+        seen: set[int] = set()
         with np.errstate(over="ignore"):
             for whole in batches:
                 for at in range(0, whole.num_rows, 1024):
                     b = whole.slice(at, 1024)
-                    sizes, key, check, keys = [], [], [], []
+                    sizes, key, check, bits, keys, pieces = [], [], [], [], [], []
                     for text in b.column("text").to_pylist():
                         x = shingles(text, width, seed) if text is not None else np.zeros(0, U)
                         d = xxhash.xxh3_128_digest(x.tobytes(), seed)
                         sizes.append(len(x)), key.append(int.from_bytes(d[:8], "big", signed=True)), check.append(int.from_bytes(d[8:], "big", signed=True))
-                        keys.append(keys_of(x, jaccard, light, miss).view(np.int64) if len(x) else None)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "set_check", "keys"])
+                        if not len(x) or key[-1] in seen:
+                            bits.append(None), keys.append(None), pieces.append(None)
+                            continue
+                        seen.add(key[-1])
+                        k = keys_of(x, jaccard, light, order)
+                        # lists of frequent shingles are cut into pieces; which one is a matter of the set
+                        n = np.ceil(order.counts(k) / order.often).astype(np.int64)
+                        bits.append(parities(x)), keys.append(k.view(np.int64)), pieces.append(np.where(n > 1, 1 + key[-1] % np.maximum(n, 1), 0).astype(np.int32))
+                    arrays = [b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n_shingles", "set_key", "set_check", "bits", "keys", "pieces"])
+
+    schema = "doc_id long, text_key long, n_shingles long, set_key long, set_check long, bits array<long>, keys array<long>, pieces array<int>"
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(work, schema)
+
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, set_key long, set_check long, keys array<long>")
+def scanned_lists(lists: DataFrame, jaccard: float, short: int) -> DataFrame:
+    """a, b, tied: candidate pairs (tied false) and ties of long lists (true). Input: key, piece, set_key, size.
+
+    Rows of a key and piece come one after another, a list is never held beyond `short` rows and a batch. Ties of a piece lead to its first set, and from there to the key itself.
+    """
+
+    def work(batches):
+        num = round(jaccard * 100)
+        held = [np.zeros(0, np.int64)] * 4  # key, piece, set_key, size of the list at the end of the last batch
+        hub: tuple[int, int, int] | None = None  # key, piece and first set of that list, if it is long already
+
+        def scan(key, piece, who, size, closed: bool):
+            nonlocal held, hub
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])
+            again = np.zeros(len(key), bool)
+            again[1:] = ~fresh[1:] & (who[1:] == who[:-1])
+            key, piece, who, size, fresh = (z[~again] for z in (key, piece, who, size, fresh))
+            starts = np.flatnonzero(fresh)
+            length = np.diff(np.append(starts, len(key)))
+            group = np.repeat(np.arange(len(starts)), length)
+            first = who[starts]
+            long = (length > short) | (piece[starts] > 0)
+            if hub and len(starts) and (int(key[0]), int(piece[0])) == hub[:2]:
+                first[0], long[0] = hub[2], True
+            if not closed and len(starts):
+                # the last list goes on: a short one waits, of a long one only its first set is remembered
+                last = len(starts) - 1
+                hub = (int(key[-1]), int(piece[-1]), int(first[last])) if long[last] else None
+                keep = slice(0, len(key)) if long[last] else slice(0, int(starts[last]))
+                held = [np.zeros(0, np.int64)] * 4 if long[last] else [z[int(starts[last]) :] for z in (key, piece, who, size)]
+                key, piece, who, size, group = (z[keep] for z in (key, piece, who, size, group))
+            a, b, tied = [], [], []
+            tie = long[group] & (who != first[group])
+            a.append(who[tie]), b.append(first[group][tie]), tied.append(np.ones(int(tie.sum()), bool))
+            cut_up = np.flatnonzero(piece[starts[starts < len(key)]] > 0)
+            a.append(first[cut_up]), b.append(key[starts[cut_up]]), tied.append(np.ones(len(cut_up), bool))
+            for step in range(1, short):
+                i = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else np.zeros(0, np.int64)
+                if not len(i):
+                    break
+                i = i[~long[group[i]]]
+                near = 100 * np.minimum(size[i], size[i + step]) >= num * np.maximum(size[i], size[i + step])
+                a.append(who[i[near]]), b.append(who[i[near] + step]), tied.append(np.zeros(int(near.sum()), bool))
+            a, b, tied = np.concatenate(a), np.concatenate(b), np.concatenate(tied)
+            if not len(a):
+                return None
+            order = np.lexsort((b, a, tied))
+            a, b, tied = a[order], b[order], tied[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (tied[1:] != tied[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(tied[new])], names=["a", "b", "tied"])
+
+        for batch in batches:
+            columns = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, ("key", "piece", "set_key", "size"), strict=True)]
+            if len(columns[0]) and (found := scan(*columns, False)) is not None:
+                yield found
+        if len(held[0]) and (found := scan(*held, True)) is not None:
+            yield found
+
+    dealt = lists.select("key", "piece", "set_key", "size").repartition("key", "piece").sortWithinPartitions("key", "piece", "set_key")
+    return dealt.mapInArrow(work, "a long, b long, tied boolean")
 
 
 class Forest:
@@ -239,44 +344,66 @@ def true_links(sets_in_clusters: DataFrame, jaccard: float, width: int, seed: in
     return sets_in_clusters.mapInArrow(work, "a long, b long")
 
 
-def join_documents(docs: DataFrame, jaccard: float = 0.9, width: int = 3, words_per_tile: int = 2_000_000, seed: int = 7, miss: float = 0.0) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) per document row. jaccard: in hundredths. miss: chance allowed to miss a pair just at the threshold (0: none is missed)."""
-    light = boundary(small_sizes(docs, width), jaccard)
+def linked_documents(docs: DataFrame, jaccard: float, width: int, words_per_tile: int, seed: int, light: int | None, short: int) -> tuple[DataFrame, DataFrame]:
+    """Document rows (doc_id, text_key, n_shingles, set_key), and the component of each set that is linked (set_key, component)."""
+    docs = docs.select("doc_id", "text")
     while True:
-        keyed = cut(keyed_documents(docs, jaccard, width, light, seed, miss), "sets")
-        classes = cut(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("set_check").alias("least"), F.max("set_check").alias("most"), F.max("n_shingles").alias("size")), "classes")
+        order = counted_order(docs, width, seed)
+        bound = light or chosen_boundary(docs, jaccard, width, seed, order)
+        keyed = cut(keyed_documents(docs, jaccard, width, bound, seed, order), "sets")
+        place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key").alias("place")
+        classes = keyed.where("n_shingles > 0").groupBy("set_key").agg(F.min(place).alias("first"), F.min("set_check").alias("least"), F.max("set_check").alias("most"), F.max("n_shingles").alias("size"), F.max("bits").alias("bits"))
+        classes = cut(classes, "classes")
         if classes.where("least <> most").isEmpty():
             break
         seed += 1  # two sets share a key: try other hashes
-    lists = keyed.where("n_shingles > 0").select(F.explode("keys").alias("key"), "set_key")
-    # lists of several sets; sums are combined before the shuffle, equal sets fall together
-    several = lists.groupBy("key").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("last")).where("hub <> last").select("key", "hub")
-    stars = lists.join(several, "key").where("set_key <> hub").select(F.col("set_key").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = cut(components(cut(stars, "stars"), label="clusters"), "clusters").withColumnRenamed("id", "set_key")
-    members = clusters.join(classes.select("set_key", "rep", "size"), "set_key").select("component", "rep", "size")
+    lists = keyed.where("keys is not null").select(F.explode(F.arrays_zip("keys", "pieces")).alias("l"), "set_key", F.col("n_shingles").cast("int").alias("size"))
+    found = cut(scanned_lists(lists.select(F.col("l.keys").alias("key"), F.col("l.pieces").alias("piece"), "set_key", "size"), jaccard, short).distinct(), "candidates")
+    bits = classes.select("set_key", "bits", "size")
+    side = lambda x: bits.select(F.col("set_key").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("size").alias(f"{x}_size"))
+    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # intersection >= J * union says that at most (1 - J) / (1 + J) of both sizes differ
+    hundredths = round(jaccard * 100)
+    near = apart * (100 + hundredths) <= (F.col("a_size") + F.col("b_size")) * (100 - hundredths)
+    pairs = found.where("not tied").select("a", "b").join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(near).select("a", "b")
+    clusters = cut(components(pairs.unionByName(found.where("tied").select("a", "b")), label="clusters"), "clusters").withColumnRenamed("id", "set_key")
+    members = cut(clusters.join(classes.select("set_key", "first", "size"), "set_key"), "members")
     weight = members.groupBy("component").agg(F.sum("size").alias("words"))
     chunks = F.greatest(F.lit(1), F.ceil(2 * F.col("words") / words_per_tile)).cast("int")
-    members = members.join(weight, "component").withColumn("chunks", chunks).withColumn("chunk", F.when(F.col("chunks") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")))
+    members = members.join(weight, "component").withColumn("chunks", chunks).withColumn("chunk", F.when(F.col("chunks") == 1, 0).otherwise(F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int")))
     # a cluster of k chunks makes k * (k + 1) / 2 tiles of two chunks at most; each chunk goes to k of them
     tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select(F.col("rep").alias("id"), F.concat_ws("-", "component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), "chunk")
-    tiles = cut(tiles, "tiles")
-    texts = _texts(docs, tiles)
-    dealt = tiles.hint("merge").join(texts, tiles.id == texts.t_id).select("tile", F.col("chunk").alias("side"), "id", "text").repartition("tile").sortWithinPartitions("tile")
-    edges = true_links(dealt, jaccard, width, seed)
-    component = components(cut(edges, "links"), label="near").withColumnRenamed("id", "rep").withColumnRenamed("component", "smallest")
-    answers = classes.join(component, "rep", "left").select("set_key", F.coalesce("smallest", "rep").alias("smallest"))
-    return keyed.join(answers, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    tiles = tiles.select(F.col("set_key").alias("id"), F.concat_ws("-", "component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), "chunk")
+    texts = _texts(docs, members)
+    dealt = tiles.hint("merge").join(texts, tiles.id == texts.t_set).select("tile", F.col("chunk").alias("side"), "id", "text").repartition("tile").sortWithinPartitions("tile")
+    links = cut(true_links(dealt, jaccard, width, seed), "links")
+    return keyed, classes.select("set_key", "first").join(components(links, label="near").withColumnRenamed("id", "set_key"), "set_key", "left").select("set_key", "first", F.coalesce("component", "set_key").alias("component"))
 
 
-def _texts(docs: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Texts of the sets' first documents, one row each; of rows that repeat a doc_id with other texts, each is found by its own set."""
-    wanted = tiles.select(F.col("id").alias("t_id")).distinct()
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """t_set, text: the text of each set's first document, once."""
+    wanted = members.select(F.col("set_key").alias("t_set"), F.col("first.doc_id").alias("t_id"), F.col("first.text_key").alias("t_key"))
+    d = docs.where("text is not null").withColumn("text_key", F.xxhash64("text"))
     # a merge join at every size: what is wanted grows with the corpus, so it is never broadcast
-    return docs.where("text is not null").select(F.col("doc_id").alias("t_id"), "text").join(wanted.hint("merge"), "t_id")
+    found = d.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_key") == F.col("t_key")))
+    return found.select("t_set", "text").dropDuplicates(["t_set"])
+
+
+def join_documents(docs: DataFrame, jaccard: float = 0.9, width: int = 3, words_per_tile: int = 2_000_000, seed: int = 7, light: int | None = None, short: int = 16) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) per document row. jaccard: in hundredths. light: largest size that enumerates subsets (none: chosen by cost)."""
+    keyed, sets = linked_documents(docs, jaccard, width, words_per_tile, seed, light, short)
+    smallest = sets.groupBy("component").agg(F.min("first.doc_id").alias("smallest"))
+    answers = sets.join(smallest, "component").select("set_key", "smallest")
+    return keyed.join(answers, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component (its smallest doc_id), documents without words included; columns as in docs."""
-    kept = join_documents(docs.select("doc_id", "text"), **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id"))).drop("k_id")
+def keep_one(docs: DataFrame, jaccard: float = 0.8, width: int = 5, words_per_tile: int = 2_000_000, seed: int = 7, light: int | None = None, short: int = 16) -> DataFrame:
+    """One row of each component: its smallest doc_id (null last), of rows that share it the smallest text key, of equal ones the smallest in the other columns. Documents without words stay. Columns as in docs; they must be orderable."""
+    keyed, sets = linked_documents(docs, jaccard, width, words_per_tile, seed, light, short)
+    winners = sets.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.text_key").alias("k_key"))
+    others = [c for c in docs.columns if c != "text"]
+    d = docs.withColumn("k_text", F.xxhash64("text"))
+    kept = d.join(winners.hint("merge"), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_key")))
+    kept = kept.groupBy("k_id", "k_key").agg(F.min(F.struct(*others)).alias("row"), F.first("text").alias("text")).select("row.*", "text").select(*docs.columns)
+    bare = docs.where(F.coalesce(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), F.lit("")) == "")
+    return kept.unionByName(bare)
