@@ -13,8 +13,8 @@ The boundary is chosen by cost: rows that enumeration gives against rows of the
 Lists are scanned in order of key. A list of up to `short` sets gives its pairs that agree in size; longer ones, near copies in great number, are tied to the list's smallest set,
 so that rows stay in proportion. A key that the sketch counts often is cut into pieces by hash, tied to one another, so no list is one task. Pairs are
 tested with a bitmap of parities of each set (differing bits never outnumber differing shingles, so no link is lost). What is left forms clusters; each
-cluster's sets come together once, and inside a cluster overlaps are counted by scanning shingle lists, with exact intersection sizes. Large clusters are dealt out as pairs
-of bounded chunks. Pairs that are already connected are not counted again, for only components are asked for.
+cluster's sets come together once, and inside a cluster overlaps are counted by scanning shingle lists, with exact intersection sizes. Large clusters are dealt out by size,
+and as pairs of bounded chunks. Pairs that are already connected are not counted again, for only components are asked for.
 
 Edges: null text and text without words: empty set, linked with nothing, a component of its own; fewer words than a shingle has: the whole sequence is the one
 shingle; rows with a null doc_id link like others, and a component's id is its smallest doc_id that is not null (null if there is none); repeated rows (equal
@@ -29,14 +29,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortica.llm.common import components, cut
 
 U = np.uint64
 #: Counters of the sketch of frequencies, as a power of two.
-BITS = 18
+BITS = 22
 GOLD, M1, M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 
@@ -63,17 +63,21 @@ def shingles(text: str, width: int, seed: int = 0) -> np.ndarray:
 
 
 class Order:
-    """One order of all shingles, by how many documents hold them: a sketch of 2 ** BITS counters, each in a 64th of a power of two."""
+    """One order of all shingles, by how many documents hold them: a sketch of 2 ** BITS counters, each kept as a sixth of a power of two, in a byte."""
 
-    def __init__(self, counts: np.ndarray):
-        self.level = np.round(np.log2(1 + counts) * 64).astype(np.uint16)
-        self.usual = float(counts.mean())
+    def __init__(self, level: np.ndarray, usual: float):
+        #: Levels of the counters, and the counters' mean.
+        self.level, self.usual = level, usual
         #: Keys counted more often than this are cut into pieces of about this many rows.
-        self.often = max(20_000.0, 8 * self.usual)
+        self.often = max(20_000.0, 8 * usual)
+
+    @staticmethod
+    def levels(counts: np.ndarray) -> np.ndarray:
+        return np.round(np.log2(1 + counts) * 6).astype(np.uint8)
 
     def counts(self, x: np.ndarray) -> np.ndarray:
         """Documents that hold each shingle: never fewer than there are, but for rounding."""
-        return np.exp2(self.level[(x & U(2**BITS - 1)).astype(np.int64)] / 64) - 1
+        return np.exp2(self.level[(x & U(2**BITS - 1)).astype(np.int64)] / 6) - 1
 
     def first(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n rarest shingles of a set, ties by hash."""
@@ -95,8 +99,9 @@ def lists_of(x: np.ndarray, jaccard: float, order: Order) -> np.ndarray:
 
 
 def parities(x: np.ndarray) -> np.ndarray:
-    """1,024 bits, each the parity of the number of shingles that fall on it."""
-    return np.packbits(np.bincount((mixed(x ^ M2) & U(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1).view(np.int64)
+    """Bits, 64 to a number, each the parity of the number of shingles that fall on it: a power of two, at least 1,024 and twice as many as there are shingles."""
+    n = max(1024, 1 << (2 * len(x) - 1).bit_length())
+    return np.packbits(np.bincount((mixed(x ^ M2) & U(n - 1)).astype(np.int64), minlength=n).astype(np.uint8) & 1).view(np.int64)
 
 
 def subsets_of(x: np.ndarray, jaccard: float) -> np.ndarray:
@@ -133,14 +138,15 @@ def keys_of(x: np.ndarray, jaccard: float, light: int, order: Order) -> np.ndarr
 
 
 def counted_order(docs: DataFrame, width: int, seed: int) -> Order:
-    """The order of the shingles of all documents. A task gives one sketch, in slices; slices are added up one by one, and 2 ** BITS numbers come to the driver at any size of the corpus."""
+    """The order of the shingles of all documents. A task gives one sketch, in slices; slices are added up one by one, and 2 ** BITS bytes come to the driver at any size of the corpus."""
     slices = 64
 
     def count(batches):
-        total = np.zeros(2**BITS, np.int64)
+        total = np.zeros(2**BITS, np.uint32)
         for b in batches:
             for text in b.column("text").to_pylist():
                 with np.errstate(over="ignore"):
+                    # shingles are distinct, but some share a counter
                     np.add.at(total, (shingles(text, width, seed) & U(2**BITS - 1)).astype(np.int64), 1)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in total.reshape(slices, -1)], pa.binary())], names=["slice", "counts"])
@@ -149,13 +155,14 @@ def counted_order(docs: DataFrame, width: int, seed: int) -> Order:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([Order.levels(x).tobytes() for x in sums.values()], pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], names=["slice", "levels", "total"])
 
-    schema = "slice int, counts binary"
-    rows = docs.where("text is not null").select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect()
-    return Order(np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(rows, key=lambda r: r.slice)]) if rows else np.zeros(2**BITS, np.int64))
+    dealt = docs.where("text is not null").select("text").mapInArrow(count, "slice int, counts binary").repartition("slice")
+    rows = sorted(dealt.mapInArrow(add, "slice int, levels binary, total long").collect(), key=lambda r: r.slice)
+    level = np.concatenate([np.frombuffer(r.levels, np.uint8) for r in rows]) if rows else np.zeros(2**BITS, np.uint8)
+    return Order(level, sum(r.total for r in rows) / 2**BITS)
 
 
 def chosen_boundary(docs: DataFrame, jaccard: float, width: int, seed: int, order: Order) -> int:
@@ -361,25 +368,44 @@ def linked_documents(docs: DataFrame, jaccard: float, width: int, words_per_tile
     found = cut(scanned_lists(lists.select(F.col("l.keys").alias("key"), F.col("l.pieces").alias("piece"), "set_key", "size"), jaccard, short).distinct(), "candidates")
     bits = classes.select("set_key", "bits", "size")
     side = lambda x: bits.select(F.col("set_key").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("size").alias(f"{x}_size"))
-    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # sets that agree in size have equally many bits, or one twice as many, which are folded
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(F.col(x))
+    apart = F.aggregate(F.zip_with(fold("a_bits", "b_bits"), fold("b_bits", "a_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     # intersection >= J * union says that at most (1 - J) / (1 + J) of both sizes differ
     hundredths = round(jaccard * 100)
     near = apart * (100 + hundredths) <= (F.col("a_size") + F.col("b_size")) * (100 - hundredths)
     pairs = found.where("not tied").select("a", "b").join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(near).select("a", "b")
     clusters = cut(components(pairs.unionByName(found.where("tied").select("a", "b")), label="clusters"), "clusters").withColumnRenamed("id", "set_key")
     members = cut(clusters.join(classes.select("set_key", "first", "size"), "set_key"), "members")
-    weight = members.groupBy("component").agg(F.sum("size").alias("words"))
-    chunks = F.greatest(F.lit(1), F.ceil(2 * F.col("words") / words_per_tile)).cast("int")
-    members = members.join(weight, "component").withColumn("chunks", chunks).withColumn("chunk", F.when(F.col("chunks") == 1, 0).otherwise(F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int")))
-    # a cluster of k chunks makes k * (k + 1) / 2 tiles of two chunks at most; each chunk goes to k of them
-    tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select(F.col("set_key").alias("id"), F.concat_ws("-", "component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), "chunk")
+    tiles = dealt_tiles(members, jaccard, words_per_tile)
     texts = _texts(docs, members)
-    dealt = tiles.hint("merge").join(texts, tiles.id == texts.t_set).select("tile", F.col("chunk").alias("side"), "id", "text").repartition("tile").sortWithinPartitions("tile")
+    dealt = tiles.hint("merge").join(texts, tiles.id == texts.t_set).select("tile", "side", "id", "text").repartition("tile").sortWithinPartitions("tile")
     links = cut(true_links(dealt, jaccard, width, seed), "links")
     return keyed, classes.select("set_key", "first").join(components(links, label="near").withColumnRenamed("id", "set_key"), "set_key", "left").select("set_key", "first", F.coalesce("component", "set_key").alias("component"))
 
 
+def dealt_tiles(members: DataFrame, jaccard: float, words_per_tile: int) -> DataFrame:
+    """id, tile, side of the sets of clusters. A small cluster is one tile. A large one is cut by size into bands, such that linked sets are in one band or in neighbouring ones, and a large
+    band by hash into chunks; two chunks of a band, or of neighbouring bands, make a tile. So a set goes to about three times as many tiles as its band has chunks."""
+    large = F.sum("size").over(Window.partitionBy("component")) * 2 > words_per_tile
+    sums = members.withColumn("band", F.floor(F.log("size") / (math.log(1 / jaccard) * (1 + 1e-9)))).groupBy("component", "band").agg(F.sum("size").alias("size"))
+    sums = sums.withColumn("large", large)
+    chunks = F.when(F.col("large"), F.ceil(2 * F.col("size") / words_per_tile)).otherwise(1).cast("int")
+    near = Window.partitionBy("component").orderBy("band")
+    beside = lambda f, step: F.when(F.col("large") & (f("band").over(near) == F.col("band") + step), f("chunks").over(near)).otherwise(0)
+    sums = sums.withColumn("chunks", chunks).withColumns({"below": beside(F.lag, -1), "above": beside(F.lead, 1)}).select(F.col("component").alias("of"), F.col("band").alias("of_band"), "large", "chunks", "below", "above")
+    m = members.select("component", F.col("set_key").alias("id"), F.floor(F.log("size") / (math.log(1 / jaccard) * (1 + 1e-9))).alias("band"))
+    m = m.join(sums, (F.col("component") == F.col("of")) & (F.col("band") == F.col("of_band")))
+    m = m.withColumn("band", F.when(F.col("large"), F.col("band")).otherwise(-1)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    named = lambda kind, band, low, high, side: F.struct(F.concat_ws("-", F.col("component"), F.lit(kind), band, low, high).alias("tile"), side.cast("int").alias("side"))
+    own = F.transform(upto(F.col("chunks")), lambda k: named("in", F.col("band"), F.least("chunk", k), F.greatest("chunk", k), F.col("chunk")))
+    up = F.transform(upto(F.col("above")), lambda k: named("up", F.col("band"), F.col("chunk"), k, F.lit(0)))
+    down = F.transform(upto(F.col("below")), lambda k: named("up", F.col("band") - 1, k, F.col("chunk"), F.lit(1)))
+    return m.select("id", F.explode(F.concat(own, up, down)).alias("t")).select("id", "t.tile", "t.side")
+
+
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """t_set, text: the text of each set's first document, once."""
     wanted = members.select(F.col("set_key").alias("t_set"), F.col("first.doc_id").alias("t_id"), F.col("first.text_key").alias("t_key"))
