@@ -57,7 +57,7 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Codec:
     """Encoder and decoder of one model."""
 
-    def __init__(self, model: str | bytes = MODEL, dropout: float = 0.1, seed: int = 0, remembered: int = 200_000):
+    def __init__(self, model: str | bytes = MODEL, dropout: float = 0.1, seed: int = 0, remembered: int = 80_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model) if isinstance(model, bytes) else sentencepiece.SentencePieceProcessor(model_file=model)
@@ -339,7 +339,7 @@ def shared_codec(proto: bytes, dropout: float, seed: int) -> Codec:
     return Codec(proto, dropout, seed)
 
 
-def by_size(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most so many bytes of text, or of one row: what is held at once does not grow with the texts of a batch."""
     lengths = [x or 0 for x in pc.binary_length(batch.column("text")).to_pylist()]
     start = held = 0
