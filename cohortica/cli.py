@@ -52,7 +52,7 @@ def profile(spark, args):
 def _fit(spark, args, family: str = "weibull"):
     names = args.covariates.split(",") if args.covariates else []
     c = _cells(spark, args)
-    return c, archives.fit_once(spark, args.fits, {"input": args.input, "covariates": names, "family": family}, lambda: backtest.fit_aft(c, names, family=family))
+    return c, archives.fit_once(spark, args.fits, {"table": archives.table_identity(spark, args.input), "covariates": names, "family": family}, lambda: backtest.fit_aft(c, names, family=family))
 
 
 def fit(spark, args):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterable, Mapping, Sequence
 from itertools import pairwise
 
 from pyspark.sql import Column
@@ -61,6 +62,17 @@ def band_index(c: C, edges: Sequence[float]) -> Column:
     return out.otherwise(F.lit(len(edges) - 2))
 
 
+def binned(columns: Mapping[str, Sequence[float]], missing: str | None = None) -> dict[str, Column]:
+    """For each covariate its class's midpoint (name_binned) and the label of its band (name_band), for withColumns."""
+    return {f"{n}_binned": midpoint(n, e) for n, e in columns.items()} | {f"{n}_band": band_label(n, e, missing) for n, e in columns.items()}
+
+
+def binned_formula(formula: str, columns: Iterable[str]) -> str:
+    """A formula whose terms read the classed form of the given columns."""
+    names = "|".join(re.escape(c) for c in sorted(columns, key=len, reverse=True))
+    return re.sub(rf"(?<![\w.])({names})(?![\w.])", r"\1_binned", formula) if names else formula
+
+
 def mapped(c: C, levels: Mapping[str, str]) -> Column:
     """Level of a code; a code without a level is null."""
     c, out = _c(c), None

@@ -19,10 +19,10 @@ DEFAULT_MONTHS = 3
 LOSS_CODES, PAYOFF_CODES, EXIT_CODES, MODIFIED = ("02", "03", "09", "15"), ("01",), ("16", "96"), ("Y", "P")
 NPV_THRESHOLD = 0.01
 REGIONS = {
-    "Northeast": "CT ME MA NH NJ NY PA RI VT",
-    "Midwest": "IL IN IA KS MI MN MO NE ND OH SD WI",
-    "South": "AL AR DE DC FL GA KY LA MD MS NC OK SC TN TX VA WV",
-    "West": "AK AZ CA CO HI ID MT NV NM OR UT WA WY",
+    "Northeast": ("CT", "ME", "MA", "NH", "NJ", "NY", "PA", "RI", "VT"),
+    "Midwest": ("IL", "IN", "IA", "KS", "MI", "MN", "MO", "NE", "ND", "OH", "SD", "WI"),
+    "South": ("AL", "AR", "DE", "DC", "FL", "GA", "KY", "LA", "MD", "MS", "NC", "OK", "SC", "TN", "TX", "VA", "WV"),
+    "West": ("AK", "AZ", "CA", "CO", "HI", "ID", "MT", "NV", "NM", "OR", "UT", "WA", "WY"),
 }
 LEVELS = {
     "purpose": ("loan_purpose", {"P": "purchase", "C": "cash_out_refinance", "N": "rate_term_refinance", "R": "rate_term_refinance"}),
@@ -47,7 +47,7 @@ class Definition(StrEnum):
 
 
 def region(state: Column) -> Column:
-    return F.coalesce(mapped(state, {s: r for r, states in REGIONS.items() for s in states.split()}), F.lit("Other"))
+    return F.coalesce(mapped(state, {s: r for r, states in REGIONS.items() for s in states}), F.lit("Other"))
 
 
 def categorical(name: str) -> Column:

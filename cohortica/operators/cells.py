@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from cohortica.functions.columns import age_floor, band_index, midpoint, share
 from cohortica.operators.book import DEFAULT, PREPAYMENT
 
+#: The bands of the production key, what the cell table is capped at and the margin a projection is read with, quantiles that propose cut points, least share of a level, share that dominates.
 PRODUCTION_EDGES = {"credit_score": (580.0, 660.0, 700.0, 740.0, 760.0, 820.0), "original_ltv": (30.0, 70.0, 80.0, 90.0, 100.0), "debt_to_income": (10.0, 28.0, 36.0, 43.0, 55.0)}
+CELL_CEILING, PROJECTION_MARGIN = 250_000_000, 1.14
+QUANTILES = (0.05, 0.20, 0.40, 0.60, 0.80, 0.95)
+LEAST_SHARE, DOMINANT = 0.05, 0.99
 
 
 @dataclass(frozen=True)
@@ -55,7 +59,7 @@ def compression(book: DataFrame, spec: CellSpec) -> DataFrame:
     return c.withColumn("compression", F.round(F.col("loan_months") / F.col("cells"), 6))
 
 
-def extension_cost(book: DataFrame, base: CellSpec, extensions: Mapping[str, CellSpec], ceiling: int = 250_000_000, margin: float = 1.14) -> DataFrame:
+def extension_cost(book: DataFrame, base: CellSpec, extensions: Mapping[str, CellSpec], ceiling: int = CELL_CEILING, margin: float = PROJECTION_MARGIN) -> DataFrame:
     """Cells of each specification against the base's, in one pass: a distinct count of the key's struct per specification."""
     named = {"base": base, **extensions}
 
@@ -82,10 +86,10 @@ def outcome_rate(df: DataFrame, by: Sequence[str | Column], weight: Column | Non
 
 
 def exposure_by_level(df: DataFrame, by: Sequence[str], weight: str = "loan_months") -> DataFrame:
-    """Exposure, default and prepayment rates of each level."""
+    """Exposure, its share, default and prepayment rates of each level."""
     w = F.sum(weight)
     part = lambda c: F.round(share(F.sum(F.when(F.col("outcome") == c, F.col(weight)).otherwise(0)), w), 9)
-    return df.groupBy(*by).agg(w.cast("long").alias("loan_months"), part(DEFAULT).alias("default_rate"), part(PREPAYMENT).alias("prepayment_rate"))
+    return df.groupBy(*by).agg(w.cast("long").alias("loan_months"), part(DEFAULT).alias("default_rate"), part(PREPAYMENT).alias("prepayment_rate")).withColumn("share", F.round(share(F.col("loan_months"), F.sum("loan_months").over(Window.partitionBy())), 9))  # a row per level
 
 
 def dense_months(counts: DataFrame, month: str, *values: str) -> DataFrame:
@@ -94,14 +98,46 @@ def dense_months(counts: DataFrame, month: str, *values: str) -> DataFrame:
     return spine.join(counts, month, "left").na.fill(0, subset=list(values))
 
 
-def incomplete_cases(loans: DataFrame, by: str, columns: Sequence[str], exempt: Column | None = None) -> DataFrame:
-    """Loans per group, those that miss a covariate, and the default share of both. Wants one row per loan and month; a loan misses a covariate if any of its months does."""
-    miss = F.lit(False)
-    for c in columns:
-        miss = miss | (F.col(c).isNull() & ~(exempt if exempt is not None else F.lit(False)))
-    one = loans.groupBy(by, "loan").agg(F.bool_or(miss).alias("missing"), F.bool_or(F.col("outcome") == DEFAULT).alias("bad"))
-    g = one.groupBy(by).agg(F.count("*").alias("loans"), F.count_if("missing").alias("incomplete"), F.avg(F.when(F.col("missing"), F.col("bad").cast("int"))).alias("i"), F.avg(F.when(~F.col("missing"), F.col("bad").cast("int"))).alias("c"))
-    return g.select(by, "loans", "incomplete", F.round(F.col("incomplete") / F.col("loans"), 9).alias("share"), F.round("i", 9).alias("incomplete_default_share"), F.round("c", 9).alias("complete_default_share"))
+def incomplete_cases(loans: DataFrame, by: str, missing: Mapping[str, Column]) -> DataFrame:
+    """Loans per group, those that would be dropped, how many lack each field (a loan can lack several), default rates of the loans kept and dropped, and their ratio. Wants one row per loan and month; a loan lacks a field if any of its months does."""
+    one = loans.groupBy(by, "loan").agg(*[F.bool_or(c).alias(f"no_{n}") for n, c in missing.items()], F.bool_or(F.col("outcome") == DEFAULT).alias("bad"))
+    dropped = F.lit(False)
+    for n in missing:
+        dropped = dropped | F.col(f"no_{n}")
+    one = one.withColumn("dropped", dropped)
+    bad = F.col("bad").cast("int")
+    g = one.groupBy(by).agg(F.count("*").alias("loans"), F.count_if("dropped").alias("dropped"), *[F.count_if(f"no_{n}").alias(f"no_{n}") for n in missing], F.avg(F.when(~F.col("dropped"), bad)).alias("k"), F.avg(F.when(F.col("dropped"), bad)).alias("d"))
+    return g.select(by, "loans", "dropped", *[f"no_{n}" for n in missing], F.round("k", 9).alias("default_rate_kept"), F.round("d", 9).alias("default_rate_dropped"), F.round(F.col("dropped") / F.col("loans"), 9).alias("dropped_share"), F.round(share(F.col("d"), F.col("k")), 6).alias("relative_risk"))
+
+
+def first_month(book: DataFrame, columns: Sequence[str], loan: str = "loan", month: str = "month") -> DataFrame:
+    """Each loan once, with the attributes of its first month in the book."""
+    return book.groupBy(loan).agg(F.min_by(F.struct(*columns), month).alias("first")).select(loan, *[F.col("first")[c].alias(c) for c in columns])
+
+
+def segment_shares(table: DataFrame, dimension: str, measures: Sequence[str]) -> DataFrame:
+    """Share of each measure in the whole of its dimension's value. Wants the rows of by_segments."""
+    w = Window.partitionBy(dimension)
+    whole = lambda c: F.max(F.when(F.col("segment") == "all", F.col(c))).over(w)
+    return table.withColumns({f"{c}_share": F.round(share(F.col(c), whole(c)), 9) for c in measures})
+
+
+def book_summary(loans: DataFrame, outstanding: DataFrame, records: int, cells: DataFrame) -> DataFrame:
+    """One row of counts, each of something else: loans and amount written (vintage, price), rows of the records, loan-months outstanding and their peaks (contracts, balance), loan-months and defaults in the cells."""
+    a = loans.agg(F.concat_ws(" - ", F.min("vintage"), F.max("vintage")).alias("vintages"), F.count("*").alias("loans_originated"), F.round(F.sum("price"), 2).alias("amount_originated"))
+    b = outstanding.agg(F.sum("contracts").alias("loan_months_outstanding"), F.max("contracts").alias("peak_contracts"), F.max("balance").alias("peak_balance"))
+    c = cells.agg(F.sum("loan_months").alias("loan_months_modelled"), F.sum(F.when(F.col("outcome") == DEFAULT, F.col("loan_months")).otherwise(0)).alias("defaults_modelled"))
+    # a row each
+    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c)).withColumn("records", F.lit(records).cast("long"))
+
+
+def cell_shape(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """covariate, levels (sorted) of the categorical columns, and as covariate `age` the episode's width: the least gap between distinct ages, 1 if there is but one."""
+    gap = F.col("age") - F.lag("age").over(Window.orderBy("age"))  # a row per age
+    width = cells.select("age").distinct().select(gap.alias("gap")).agg(F.coalesce(F.min("gap"), F.lit(1)).alias("w"))
+    levels = cells.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns])
+    long = levels.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*columns))).alias("covariate", "l")).select("covariate", F.array_join("l", "|").alias("levels"))
+    return long.unionByName(width.select(F.lit("age").alias("covariate"), F.col("w").cast("string").alias("levels")))
 
 
 def exits_by_code(months: DataFrame, code: str) -> DataFrame:
@@ -150,20 +186,21 @@ def frequency_table(df: DataFrame, column: str, weight: str) -> DataFrame:
     return n.withColumn("share", F.round(share(F.col("exposure"), F.sum("exposure").over(Window.partitionBy())), 9))
 
 
-def concentration(df: DataFrame, columns: Sequence[str], weight: str, dominant: float = 0.99) -> DataFrame:
-    """Largest level of each column, its share, number of levels, and whether it dominates."""
+def concentration(df: DataFrame, columns: Sequence[str], weight: str, dominant: float = DOMINANT) -> DataFrame:
+    """Largest level of each column that is not missing, its share of all exposure, the number of such levels, and whether it dominates. Ties: the greater level. A column that is always missing has largest null, share 1, and dominates."""
     long = df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("<missing>")) for c in columns]))).alias("covariate", "level"), F.col(weight).alias("w"))
     n = long.groupBy("covariate", "level").agg(F.sum("w").alias("w"))
-    g = n.groupBy("covariate").agg(F.max_by("level", F.struct("w", "level")).alias("level"), (F.max("w") / F.sum("w")).alias("s"), F.count("*").alias("levels"))
+    there = F.col("level") != "<missing>"
+    g = n.groupBy("covariate").agg(F.max_by(F.when(there, F.col("level")), F.when(there, F.struct("w", "level"))).alias("level"), F.coalesce(F.max(F.when(there, F.col("w"))) / F.sum("w"), F.lit(1.0)).alias("s"), F.count_if(there).alias("levels"))
     return g.select("covariate", F.col("level").alias("largest"), F.round("s", 9).alias("share"), "levels", (F.col("s") >= dominant).alias("dominated"))
 
 
-def screen_categoricals(df: DataFrame, columns: Sequence[str], weight: str, rare: float = 0.05) -> DataFrame:
-    """Exposure, default rate and verdict of every level of many covariates in one pass."""
+def screen_categoricals(df: DataFrame, columns: Sequence[str], weight: str, least: float = LEAST_SHARE) -> DataFrame:
+    """Exposure, default rate and verdict of every level of many covariates in one pass: a level below the least share is to be merged."""
     long = df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("<missing>")) for c in columns]))).alias("covariate", "level"), "outcome", F.col(weight).alias("w"))
     n = long.groupBy("covariate", "level").agg(F.sum("w").cast("long").alias("loan_months"), F.sum(F.when(F.col("outcome") == DEFAULT, F.col("w")).otherwise(0)).cast("long").alias("defaults"))
     part = F.col("loan_months") / F.sum("loan_months").over(Window.partitionBy("covariate"))
-    verdict = F.when(F.col("defaults") == 0, "no defaults").when(part < rare, "rare").otherwise("keep")
+    verdict = F.when(part < least, "merge: below minimum share").otherwise("keep")
     return n.withColumns({"share": F.round(part, 9), "default_rate": F.round(F.col("defaults") / F.col("loan_months"), 9), "verdict": verdict})
 
 
@@ -180,11 +217,10 @@ def is_monotonic(profile: DataFrame) -> DataFrame:
     return s.agg(F.count("s").alias("steps"), (F.coalesce(F.min("s"), F.lit(0)) >= 0).alias("rises"), (F.coalesce(F.max("s"), F.lit(0)) <= 0).alias("falls"))
 
 
-def cut_points(df: DataFrame, column: str, n: int = 6) -> DataFrame:
-    """Exact quantiles that cut a covariate into n even parts."""
-    at = [k / n for k in range(1, n)]
+def cut_points(df: DataFrame, column: str, at: Sequence[float] = QUANTILES) -> DataFrame:
+    """Exact quantiles of a covariate, as candidate band edges."""
     q = df.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("q"))
-    return q.select(F.posexplode("q").alias("k", "cut")).select((F.col("k") + 1).alias("k"), F.round("cut", 6).alias("cut"))
+    return q.select(F.posexplode("q").alias("k", "cut")).select((F.col("k") + 1).alias("k"), F.round("cut", 3).alias("cut"))
 
 
 def fill_rate(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -29,18 +29,23 @@ def fill_and_trim(series: DataFrame, columns: Sequence[str], month: str = "month
     return s.crossJoin(F.broadcast(b)).where(F.col(month).between(F.col("lo"), F.col("hi"))).select(month, *columns)
 
 
-def at(frame: DataFrame, macro: DataFrame, when: Column, prefix: str, columns: Sequence[str], offset: int = 0) -> DataFrame:
-    """Adds the series' values of another month: when - offset."""
+def at(frame: DataFrame, macro: DataFrame, when: Column, prefix: str, columns: Sequence[str], offset: int = 0, small: bool = False) -> DataFrame:
+    """Adds the series' values of another month: when - offset. small: the table's size was checked, it may be broadcast."""
     m = macro.select((F.col("month") + offset).alias(f"{prefix}_month"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
-    # the check that allows the broadcast: a table of months
-    m = F.broadcast(m) if macro.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else m
+    m = F.broadcast(m) if small else m
     return frame.join(m, when == F.col(f"{prefix}_month"), "left").drop(f"{prefix}_month")
 
 
 def add_family(frame: DataFrame, macro: DataFrame, columns: Sequence[str], observed: str = "month", origin: str = "origination_month", lag: int = LAG) -> DataFrame:
-    """obs_, orig_, obs12_, orig12_ columns of every series, lagged."""
+    """obs_, orig_, obs12_, orig12_ columns of every series, lagged.
+
+    The series are read once: a table of months that the check allows is taken to the driver (some hundred rows) and joined from there; a larger one is joined as it is.
+    """
+    rows = macro.select("month", *columns).limit(BROADCAST_ROWS + 1).toArrow()
+    small = rows.num_rows <= BROADCAST_ROWS
+    macro = frame.sparkSession.createDataFrame(rows) if small else macro
     for prefix, when, more in (("obs", observed, 0), ("orig", origin, 0), ("obs12", observed, 12), ("orig12", origin, 12)):
-        frame = at(frame, macro, F.col(when), prefix, columns, lag + more)
+        frame = at(frame, macro, F.col(when), prefix, columns, lag + more, small)
     return frame
 
 
@@ -97,8 +102,30 @@ def extend(macro: DataFrame, columns: Sequence[str], months: int, shocks: Mappin
     return out
 
 
+def add_loan_family(frame: DataFrame, macro: DataFrame, columns: Sequence[str], built: Mapping[str, Column], index: str, market: str, ltv: str = "original_ltv", note: str = "note_rate", observed: str = "month", lag: int = LAG) -> DataFrame:
+    """The family on a panel of loans: `built` columns, and, where the loan has what they read, indexed_cltv (value at origination moved with the index, lagged as the family is) and
+    refinance_incentive (note rate against the market of the month itself, not lagged). Rows that lack any of `built` go."""
+    f = add_family(frame, macro, columns, observed, lag=lag).withColumns(dict(built))
+    if ltv in frame.columns:
+        f = f.withColumn("indexed_cltv", F.col(ltv) + mark_to_market(F.col(ltv), index))
+    if note in frame.columns:
+        f = at(f, macro, F.col(observed), "now", [market]).withColumn("refinance_incentive", note_rate_spread(F.col(note), market, "now"))
+    return f.na.drop(subset=list(built))
+
+
+def calendar_verdict(correlations: DataFrame) -> DataFrame:
+    """The shift at which two series fit best (ties: the smaller, then the earlier), and whether that is none."""
+    best = F.max_by("shift", F.struct("correlation", -F.abs("shift"), -F.col("shift")))
+    return correlations.where("correlation is not null").agg(best.alias("best_shift"), F.max("correlation").alias("correlation")).withColumn("calendar_is_right", F.col("best_shift") == 0)
+
+
 def lag_correlation(a: DataFrame, b: DataFrame, month: str, x: str, y: str, reach: int = 6) -> DataFrame:
-    """Correlation of two monthly series at shifts of -reach to reach; with a calendar that is right it peaks where it should."""
+    """Correlation of two monthly series at shifts of -reach to reach; with a calendar that is right it peaks where it should. Both lie on every month from the first to the last of
+    either, a month that one lacks counts as zero, and a shifted month beyond either end is left out."""
+    ends = a.select(F.col(month).alias("m")).unionByName(b.select(F.col(month).alias("m"))).agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    spine = ends.select(F.explode(F.sequence("lo", "hi")).alias(month))
+    left = spine.join(a.select(month, x), month, "left").select(month, F.coalesce(F.col(x), F.lit(0)).alias("still"))
+    right = spine.join(b.select(month, F.col(y).alias("y")), month, "left").select(month, F.coalesce("y", F.lit(0)).alias("moved"))
     shifts = a.sparkSession.range(-reach, reach + 1).select(F.col("id").cast("int").alias("shift"))
-    moved = b.crossJoin(F.broadcast(shifts)).select((F.col(month) + F.col("shift")).alias(month), "shift", F.col(y).alias("moved"))  # months x shifts, both bounded by the calendar
-    return moved.join(a.select(month, x), month).groupBy("shift").agg(F.round(F.corr(x, "moved"), 6).alias("correlation"), F.count("*").alias("months"))
+    moved = right.crossJoin(F.broadcast(shifts)).select((F.col(month) + F.col("shift")).alias(month), "shift", "moved")  # months x shifts, both bounded by the calendar
+    return moved.join(left, month).groupBy("shift").agg(F.round(F.corr("still", "moved"), 6).alias("correlation"), F.count("*").alias("months"))

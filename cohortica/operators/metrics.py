@@ -11,9 +11,13 @@ from cohortica.functions.columns import share
 from cohortica.functions.special import jeffreys_interval
 from cohortica.operators.book import DEFAULT, PREPAYMENT
 
-#: Lower ends of the master scale's grades: five basis points, doubling.
-GRADES = [0.0, *[0.0005 * 2**k for k in range(1, 8)]]
+#: Inner edges of the master scale, five basis points and doubling; the floor of a PD; how many of the eight grades must hold; widths of the rules.
+GRADES = [0.0005 * 2**k for k in range(7)]
 FLOOR = 0.0005
+GRADES_TO_PASS = 7
+GRADE_TOLERANCE = 0.25
+THIN_MONTH = 0.10
+MOST_MULTIPLIER = 4.0
 
 
 def hits(cause: str = DEFAULT, weight: str = "loan_months") -> Column:
@@ -26,20 +30,32 @@ def actual_expected(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.select(*by, "loan_months", "actual", F.round("e", 6).alias("expected"), F.round(share(F.col("actual"), F.col("e")), 6).alias("actual_over_expected"))
 
 
-def equal_exposure_buckets(scored: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """bucket of each hazard, so that buckets hold even exposure; cells of one hazard share a bucket. by: buckets within groups.
+def _ranked(scored: DataFrame, by: Sequence[str], sums: dict[str, Column], descending: bool) -> DataFrame:
+    """hz, the sums per distinct hazard, and for each sum its total and its running total up to and with the hazard, per group.
 
-    The running sum goes over rounded distinct hazards, in the two levels of ranges and values, so no task gets all rows.
+    In two levels, ranges of the hazard's logarithm and values within a range, so no task gets all distinct hazards.
     """
-    h = scored.groupBy(*by, F.round("hazard", 12).alias("hz")).agg(F.sum("loan_months").alias("w"))
-    h = h.withColumn("bin", F.floor(-F.log(F.greatest(F.col("hz"), F.lit(1e-300))) * 16))
-    bins = h.groupBy(*by, "bin").agg(F.sum("w").alias("bw"))
-    outer = Window.partitionBy(*by) if by else Window.partitionBy()
-    bins = bins.withColumns({"before": F.coalesce(F.sum("bw").over(outer.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("bw").over(outer)})
-    h = h.join(bins.drop("bw"), [*by, "bin"])
-    run = F.col("before") + F.sum("w").over(Window.partitionBy(*by, "bin").orderBy("hz").rowsBetween(Window.unboundedPreceding, 0))
-    middle = run - F.col("w") / 2
-    return h.select(*by, "hz", F.least(F.floor(middle * n / F.col("total")), F.lit(n - 1)).cast("int").alias("bucket"))
+    h = scored.groupBy(*by, F.round("hazard", 12).alias("hz")).agg(*[c.alias(n) for n, c in sums.items()])
+    h = h.withColumn("bin", F.floor(F.log(F.greatest(F.col("hz"), F.lit(1e-300))) * 64))
+    bins = h.groupBy(*by, "bin").agg(*[F.sum(n).alias(f"{n}_bin") for n in sums])
+    outer = Window.partitionBy(*by) if by else Window.partitionBy()  # a row per range
+    order = F.desc if descending else F.asc
+    before = outer.orderBy(order("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumns({f"{n}_before": F.coalesce(F.sum(f"{n}_bin").over(before), F.lit(0)) for n in sums} | {f"{n}_total": F.sum(f"{n}_bin").over(outer) for n in sums})
+    keys = [*by, "bin"]
+    bins = bins.withColumnsRenamed({k: f"of_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    h = h.join(bins, on).drop(*[f"of_{k}" for k in keys], *[f"{n}_bin" for n in sums])
+    inside = Window.partitionBy(*keys).orderBy(order("hz")).rowsBetween(Window.unboundedPreceding, 0)
+    return h.withColumns({f"{n}_run": F.col(f"{n}_before") + F.sum(n).over(inside) for n in sums})
+
+
+def equal_exposure_buckets(scored: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """bucket of each hazard, so that buckets hold even exposure: n times the running share of exposure, the hazard's own included. Cells of one hazard share a bucket. by: buckets within groups."""
+    h = _ranked(scored, by, {"w": F.sum("loan_months")}, False)
+    return h.select(*by, "hz", F.least(F.floor(F.col("w_run") * n / F.col("w_total")), F.lit(n - 1)).cast("int").alias("bucket"))
 
 
 def calibration(scored: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
@@ -49,14 +65,11 @@ def calibration(scored: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataF
 
 
 def gini(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Weighted Gini: cells of equal hazard are one point of the Lorenz curve, so row order does not matter."""
-    h = scored.groupBy(*by, F.round("hazard", 12).alias("hz")).agg(F.sum(hits()).alias("d"), F.sum("loan_months").alias("w"))
-    outer = Window.partitionBy(*by) if by else Window.partitionBy()
-    w = outer.orderBy(F.desc("hz"))
-    t = h.withColumns({"cd": F.sum("d").over(w), "td": F.sum("d").over(outer), "tw": F.sum("w").over(outer)})
-    area = F.sum(F.col("w") * (2 * F.col("cd") - F.col("d"))) / (2 * F.max("tw").cast("double") * F.max("td"))
-    g = t.groupBy(*by).agg(area.alias("area"), F.max("td").cast("long").alias("defaults"), (F.max("td") / F.max("tw")).alias("p"))
-    return g.select(*by, "defaults", F.round((2 * F.col("area") - 1) / (1 - F.col("p")), 8).alias("gini"))
+    """Twice the area between the Lorenz curve and the diagonal; null without defaults. Cells of equal hazard are one point of the curve, so row order does not matter."""
+    t = _ranked(scored, by, {"d": F.sum(hits()), "w": F.sum("loan_months")}, True)
+    area = F.sum(F.col("w") * (2 * F.col("d_run") - F.col("d"))) / (2 * F.max("w_total").cast("double") * F.nullif(F.max("d_total"), F.lit(0)))
+    g = t.groupBy(*by).agg(area.alias("area"), F.max("d_total").cast("long").alias("defaults"))
+    return g.select(*by, "defaults", F.round(2 * F.col("area") - 1, 8).alias("gini"))
 
 
 def psi_levels(reference: DataFrame, current: DataFrame, column: str, weight: str = "loan_months", floor: float = 1e-6) -> DataFrame:
@@ -78,11 +91,11 @@ def psi_numeric(reference: DataFrame, current: DataFrame, column: str, bins: int
 
 
 def grade(pd: Column) -> Column:
-    """Number of the master scale's grade, from 1."""
-    out = F.when(pd < GRADES[1], 1)
-    for k, lo in enumerate(GRADES[2:], start=2):
-        out = out.when(pd < lo, k)
-    return out.otherwise(len(GRADES))
+    """Number of the master scale's grade, from 1; a PD on an edge belongs to the grade below it."""
+    out = F.when(pd <= GRADES[0], 1)
+    for k, edge in enumerate(GRADES[1:], start=2):
+        out = out.when(pd <= edge, k)
+    return out.otherwise(len(GRADES) + 1)
 
 
 def grade_table(scored: DataFrame, pd: str = "pd_12m") -> DataFrame:
@@ -90,36 +103,50 @@ def grade_table(scored: DataFrame, pd: str = "pd_12m") -> DataFrame:
     return actual_expected(scored.withColumn("grade", grade(F.col(pd))), ["grade"])
 
 
-def grade_backtest(scored: DataFrame, pd: str = "pd_12m", level: float = 0.95, tolerance: float = 0.25) -> list[dict]:
-    """Eight rows or fewer on the driver: whether the expected rate of each grade is within the Jeffreys interval or the tolerance."""
+def grade_rates(scored: DataFrame, pd: str = "pd_12m", tolerance: float = GRADE_TOLERANCE) -> DataFrame:
+    """Per grade: obligor-years, 12-month PD predicted and realised, the relative miss, and whether it is within the tolerance (null without defaults: there is nothing to be relative to)."""
+    w = F.col("loan_months")
+    g = scored.withColumn("grade", grade(F.col(pd))).groupBy("grade").agg(F.sum(w).cast("long").alias("loan_months"), F.sum(hits()).cast("long").alias("defaults"), (F.sum(F.col(pd) * w) / F.sum(w)).alias("p"))
+    years = F.col("loan_months") / 12
+    actual = F.col("defaults") / years
+    miss = F.try_divide(F.col("p"), actual) - 1
+    return g.select("grade", "loan_months", "defaults", F.round(years, 6).alias("obligor_years"), F.round("p", 9).alias("predicted_pd"), F.round(actual, 9).alias("actual_pd"), F.round(miss, 6).alias("relative_miss"), (F.abs(miss) <= tolerance).alias("within_tolerance"))
+
+
+def grade_backtest(scored: DataFrame, pd: str = "pd_12m", level: float = 0.95, tolerance: float = GRADE_TOLERANCE) -> list[dict]:
+    """Eight rows or fewer on the driver: a grade passes by the tolerance on its 12-month PD, one without defaults by the Jeffreys interval of its obligor-years."""
     rows = []
-    for r in grade_table(scored, pd).orderBy("grade").collect():
-        low, high = jeffreys_interval(r.actual, r.loan_months, level)
-        e = r.expected / r.loan_months
-        inside = low <= e <= high
-        near = r.actual > 0 and abs(r.expected - r.actual) <= tolerance * r.actual
-        rows.append({"grade": r.grade, "loan_months": r.loan_months, "defaults": r.actual, "expected": r.expected, "low": low, "high": high, "passed": inside or near})
+    for r in grade_rates(scored, pd, tolerance).orderBy("grade").collect():
+        low, high = jeffreys_interval(r.defaults, r.obligor_years, level)
+        inside = low <= r.predicted_pd <= high
+        rows.append({**r.asDict(), "low": low, "high": high, "inside_jeffreys": inside, "passed": inside if not r.defaults else r.within_tolerance, "judged_on": "tolerance" if r.defaults else "interval"})
     return rows
 
 
-def master_scale_passed(rows: list[dict], least: int = 7) -> bool:
-    return sum(r["passed"] for r in rows) >= min(least, len(rows))
+def master_scale_passed(rows: list[dict], required: int = GRADES_TO_PASS) -> bool:
+    """At most one failing grade; a grade that nobody is in neither passes nor fails."""
+    return sum(not r["passed"] for r in rows) <= len(GRADES) + 1 - required
 
 
-def prepayment_by_month(scored: DataFrame, month: str) -> DataFrame:
-    """Single monthly mortality and the yearly rate it compounds to."""
-    a = scored.groupBy(month).agg(F.sum("loan_months").cast("long").alias("loan_months"), F.sum(hits(PREPAYMENT)).cast("long").alias("prepayments"))
-    smm = F.col("prepayments") / F.col("loan_months")
-    return a.select(month, "loan_months", "prepayments", F.round(smm, 9).alias("smm"), F.round(1 - F.pow(1 - smm, F.lit(12.0)), 8).alias("cpr"))
+def prepayment_by_month(scored: DataFrame, month: str, predicted: str | None = None) -> DataFrame:
+    """Single monthly mortality and the yearly rate it compounds to, realised and, where there is a hazard of prepayment, predicted, with their ratio."""
+    a = scored.groupBy(month).agg(F.sum("loan_months").cast("long").alias("loan_months"), F.sum(hits(PREPAYMENT)).cast("long").alias("prepayments"), F.sum(F.col(predicted) * F.col("loan_months") if predicted else F.lit(None).cast("double")).alias("e"))
+    yearly = lambda x: 1 - F.pow(1 - x, F.lit(12.0))
+    smm, model = F.col("prepayments") / F.col("loan_months"), F.col("e") / F.col("loan_months")
+    more = [F.round(model, 9).alias("predicted_smm"), F.round(yearly(model), 8).alias("predicted_cpr"), F.round(F.when(model > 0, smm / model), 6).alias("ratio")] if predicted else []
+    return a.select(month, "loan_months", "prepayments", F.round(smm, 9).alias("smm"), F.round(yearly(smm), 8).alias("cpr"), *more)
 
 
-def cycle_in_band(by_year: DataFrame, low: float = 0.8, high: float = 1.25) -> DataFrame:
-    """Share of years whose actual over expected is in the band."""
-    return by_year.agg(F.count("*").alias("years"), F.count_if(F.col("actual_over_expected").between(low, high)).alias("inside")).withColumn("share", F.round(F.col("inside") / F.col("years"), 6))
+def cycle_in_band(by_year: DataFrame, low: float = 0.8, high: float = 1.25, threshold: float = 0.70) -> DataFrame:
+    """Share of years whose actual over expected is in the band, the lowest and highest, and whether enough are."""
+    r = F.col("actual_over_expected")
+    a = by_year.where(r.isNotNull()).agg(F.count("*").alias("years"), F.count_if(r.between(low, high)).alias("years_in_band"), F.min(r).alias("lowest"), F.max(r).alias("highest"))
+    part = share(F.col("years_in_band"), F.col("years"))
+    return a.withColumns({"share_in_band": F.round(part, 6), "threshold": F.lit(threshold), "passed": F.coalesce(part >= threshold, F.lit(False))})
 
 
-def covered_months(by_month: DataFrame, exposure: str = "loan_months", part: float = 0.5) -> DataFrame:
-    """Months with at least a part of the median exposure."""
+def covered_months(by_month: DataFrame, exposure: str = "loan_months", part: float = THIN_MONTH) -> DataFrame:
+    """Months, thin if they hold less than a part of the median month's exposure."""
     median = by_month.agg(F.percentile(exposure, F.lit(0.5)).alias("median"))
     return by_month.crossJoin(F.broadcast(median)).withColumn("thin", F.col(exposure) < part * F.col("median")).drop("median")  # one row
 
@@ -153,8 +180,17 @@ def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str = "loan_
     return a.select(F.inline(F.array(*rows)))
 
 
-def anchor(scored: DataFrame, cap: float = 4.0) -> DataFrame:
-    """Multiplier that brings expected to actual events, kept between 1/cap and cap."""
-    a = scored.agg(F.sum(hits()).alias("d"), F.sum(F.col("loan_months") * F.col("hazard")).alias("e"), F.sum("loan_months").cast("long").alias("loan_months"))
-    m = F.greatest(F.least(share(F.col("d"), F.col("e")), F.lit(cap)), F.lit(1 / cap))
-    return a.select("loan_months", F.col("d").cast("long").alias("actual"), F.round("e", 6).alias("expected"), F.round(m, 8).alias("multiplier"))
+def anchor(scored: DataFrame, first: int | None = None, last: int | None = None, most: float = MOST_MULTIPLIER, month: str = "month") -> DataFrame:
+    """Multiplier that brings expected to actual events in a window of months (none: all). An error where nothing is exposed or expected there, or where the level is out by more
+    than a multiplier may carry: such a gap is a specification to look at, not a level to scale."""
+    inside = F.lit(True)
+    if first is not None:
+        inside = inside & (F.col(month) >= first)
+    if last is not None:
+        inside = inside & (F.col(month) <= last)
+    a = scored.where(inside).agg(F.sum(hits()).alias("d"), F.sum(F.col("loan_months") * F.col("hazard")).alias("e"), F.sum("loan_months").cast("long").alias("loan_months"))
+    m = share(F.col("d"), F.col("e"))
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("double")
+    checked = F.when(F.col("loan_months").isNull(), wrong("no exposure in the anchoring window")).when(F.col("e") <= 0, wrong("nothing is expected in the anchoring window"))
+    checked = checked.when((m > most) | (m < 1 / most), wrong(f"the level is out by more than {most:g} times")).otherwise(m)
+    return a.select("loan_months", F.col("d").cast("long").alias("actual"), F.round("e", 6).alias("expected"), F.round(checked, 8).alias("multiplier"))

@@ -6,12 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortica.operators.metrics import psi_levels, psi_numeric
 from cohortica.operators.model import age_basis
-from cohortica.operators.survival import CAUSES
 
 
 def at_origination(panel: DataFrame, loan: str = "loan") -> DataFrame:
@@ -129,5 +128,9 @@ def stability(reference: DataFrame, current: DataFrame, levels: Sequence[str], n
     return out.withColumn("verdict", F.when(F.col("psi") < 0.1, "stable").when(F.col("psi") < 0.25, "shifted").otherwise("unstable"))
 
 
-def incidence_columns(paths: DataFrame, weight: Column) -> list[Column]:
-    return [F.round(F.sum(F.col(f"incidence_{c}") * weight) / F.sum(weight), 8).alias(f"incidence_{c}") for c in CAUSES]
+def weighted_mean_by_id(values: DataFrame, weights: DataFrame, by: str, value: str, weight: str) -> DataFrame:
+    """Mean of a value, weighted by rows of the same id, never by place. An id without a weight is an error."""
+    w = weights.select(F.col(by).alias("w_id"), F.col(weight).alias("w"))
+    j = values.join(w, F.col(by) == F.col("w_id"), "left")
+    checked = F.when(F.col("w").isNull(), F.raise_error(F.lit("weights do not cover every row")).cast("double")).otherwise(F.col("w").cast("double"))
+    return j.select(F.col(value).alias("x"), checked.alias("w")).agg(F.count("*").alias("rows"), F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 6).alias("mean"))

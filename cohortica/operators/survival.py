@@ -73,16 +73,28 @@ def incidence_error(risk: DataFrame, by: Sequence[str] = (), cause: str = DEFAUL
 
 
 def net_entries(risk: DataFrame) -> DataFrame:
-    """Loans that come in late by age: at risk at a + 1 beyond the survivors of a; and the censored of a."""
+    """Loan-months at risk at an age that were not at risk the age before: R(a + 1) - [R(a) - d(a)] where it is positive, by the age of arrival. An age without a row has nothing at risk. Only the net flow shows."""
+    spine = risk.agg(F.explode(F.sequence(F.lit(0), F.max("age"))).alias("age"))
     w = Window.orderBy("age")  # a row per age
-    after = F.coalesce(F.lead("at_risk").over(w), F.lit(0))
-    left = F.col("at_risk") - F.col("defaults") - F.col("prepayments")
-    return risk.select("age", "at_risk", F.greatest(after - left, F.lit(0)).alias("late_entries"), F.greatest(left - after, F.lit(0)).alias("censored"))
+    r = spine.join(risk.select("age", "at_risk", "defaults"), "age", "left").na.fill(0)
+    r = r.withColumn("net", F.col("at_risk") - F.lag(F.col("at_risk") - F.col("defaults")).over(w))
+    return r.where("net > 0").select("age", F.col("net").alias("net_entries"))
 
 
-def curves_cross(curves: DataFrame, group: str, exposure: int = 100, tolerance: float = 0.001) -> DataFrame:
-    """Pairs of groups whose survival curves change order, at ages where both have exposure and differ by more than the tolerance."""
-    a = curves.where(F.col("at_risk") >= exposure).select("age", F.col(group).alias("a"), F.col("survival").alias("x"))
+def late_entry_share(risk: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """All net entries against what was at risk at the first age, and whether that is more than is tolerated."""
+    first = risk.agg(F.max("at_risk").alias("peak"), F.min_by("at_risk", "age").alias("start"))
+    late = net_entries(risk).agg(F.coalesce(F.sum("net_entries"), F.lit(0)).alias("net_entries"))
+    both = late.crossJoin(F.broadcast(first))  # one row each
+    part = share(F.col("net_entries"), F.col("net_entries") + F.col("start"))
+    return both.select("net_entries", F.round(part, 9).alias("share"), (part > tolerance).alias("warned"))
+
+
+def curves_cross(curves: DataFrame, group: str, exposure: int = 10_000, tolerance: float = 0.001) -> DataFrame:
+    """Pairs of groups whose survival curves change order, where they differ by more than the tolerance. An age at which any group has less than the exposure, or no row, counts for none."""
+    groups = curves.select(group).distinct().agg(F.count("*").alias("groups"))
+    known = curves.groupBy("age").agg(F.min("at_risk").alias("least"), F.count("*").alias("n")).crossJoin(F.broadcast(groups)).where((F.col("least") >= exposure) & (F.col("n") == F.col("groups"))).select("age")  # one row
+    a = curves.join(known, "age").select("age", F.col(group).alias("a"), F.col("survival").alias("x"))
     b = a.select("age", F.col("a").alias("b"), F.col("x").alias("y"))
     d = a.join(b, "age").where("a < b").withColumn("d", F.col("x") - F.col("y"))
     over = lambda c: F.bool_or(c)
@@ -127,6 +139,22 @@ def competing_paths(paths: DataFrame, by: Sequence[str], step: str = "step") ->
     return p.withColumns({f"incidence_{c}": F.sum(F.col("entering") * F.col(f"h_{c}")).over(upto) for c in CAUSES}).drop("h", "entering")
 
 
+def predicted_incidence(scored: DataFrame, by: Sequence[str] = (), weight: str = "loan_months") -> DataFrame:
+    """The model's own incidences: hazards of both causes (h_default, h_prepayment), averaged over the exposure at each age, then chained. Comparable with incidence() of the same rows."""
+    mean = lambda c: (F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c)
+    m = scored.groupBy(*by, "age").agg(F.sum(weight).cast("long").alias("at_risk"), mean("h_default"), mean("h_prepayment"))
+    p = competing_paths(m.withColumn("one", F.lit(1)), [*by, "one"], "age")
+    return p.select(*by, "age", "at_risk", F.round("survival", 9).alias("survival"), *[F.round(f"incidence_{c}", 9).alias(f"incidence_{c}") for c in CAUSES])
+
+
+def projected_against_observed(paths: DataFrame, observed: DataFrame, by: Sequence[str], step: str = "step") -> DataFrame:
+    """Weighted mean incidences of projected paths beside the observed ones of the same month of age (step 0 is age 0). Wants incidence_ columns and weight on the paths."""
+    mean = lambda c: (F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(f"projected_{c}")
+    p = paths.groupBy(*by, F.col(step).alias("age")).agg(*[mean(f"incidence_{c}") for c in CAUSES])
+    o = observed.select(*by, "age", *[F.col(f"incidence_{c}").alias(f"observed_incidence_{c}") for c in CAUSES])
+    return p.join(o, [*by, "age"], "left").select(*by, "age", *[F.round(f"projected_incidence_{c}", 6).alias(f"projected_{c}") for c in CAUSES], *[F.round(f"observed_incidence_{c}", 6).alias(f"observed_{c}") for c in CAUSES])
+
+
 def term_structure(paths: DataFrame, by: Sequence[str], step: str = "step") -> DataFrame:
     """Weighted mean cumulative PD per step, the marginal PD and the hazard it implies. Wants cumulative_pd and weight."""
     mean = paths.groupBy(*by, step).agg((F.sum(F.col("cumulative_pd") * F.col("weight")) / F.sum("weight")).alias("cumulative"))

@@ -61,7 +61,7 @@ def backtest(cells: DataFrame, covariates: Sequence[str], cut: int, months: int
     fit = fit_aft(train, covariates, **options)
     multiplier = 1.0
     if anchor_months:
-        multiplier = Q.anchor(score(train.where(F.col("month") > cut - anchor_months), fit)).first().multiplier or 1.0
+        multiplier = Q.anchor(score(train, fit), cut - anchor_months + 1, cut).first().multiplier
     scored = score(test, fit, multiplier).persist()
     try:
         r = Q.acceptance(scored.withColumn("all", F.lit("all")), ["all"], *TARGETS["actual_over_expected"], TARGETS["gini"]).first()

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortica.functions.columns import annualised, band_label, midpoint, weibull_hazard
+from cohortica.functions.columns import annualised, band_label, binned, midpoint, weibull_hazard
+from cohortica.operators import book as K
 from cohortica.operators import cells as C
 from cohortica.operators import macro as X
 from cohortica.operators import metrics as Q
 from cohortica.operators import model as M
 from cohortica.operators import panel as P
 from cohortica.operators import survival as S
+from cohortica.plans import records as R
 from cohortica.plans import standin as B
+from cohortica.plans import views as V
+from cohortica.sources import archives
+from cohortica.sources.shared import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,7 +37,8 @@ def _risk(s, d):
 
 
 def _halves(s, d):
-    t = B.scored(s, d)
+    # read two times and more by those that ask: written once
+    t = written(B.scored(s, d), "scored")
     mid = t.agg(F.floor((F.min("month") + F.max("month")) / 2).cast("int")).first()[0]
     return t.where(F.col("month") <= mid), t.where(F.col("month") > mid), mid
 
@@ -71,23 +78,167 @@ _add("net_entries", lambda s, d: S.net_entries(_risk(s, d)))
 _add("aalen_johansen", lambda s, d: S.incidence(_risk(s, d)))
 _add("aalen_johansen_se", lambda s, d: S.incidence_error(_risk(s, d)))
 _add("curves_cross", lambda s, d: S.curves_cross(S.kaplan_meier(S.risk_sets(B.cell_table(s, d), ["segment"]), ["segment"]), "segment", 20))
+_add("late_entry_share", lambda s, d: S.late_entry_share(_risk(s, d)))
 _add("actual_vs_expected", lambda s, d: Q.actual_expected(B.scored(s, d), ["vintage"]))
 _add("calibration_deciles", lambda s, d: Q.calibration(B.scored(s, d)))
 _add("weighted_gini", lambda s, d: Q.gini(B.scored(s, d)))
 _add("pd_12m_grade", lambda s, d: Q.grade_table(B.scored(s, d).withColumn("pd_12m", annualised(F.col("hazard")))))
 _add("decile_histogram", lambda s, d: Q.histogram_deciles(B.scored(s, d)))
-_add("prepayment_cpr", lambda s, d: Q.prepayment_by_month(B.scored(s, d), "month"))
-_add("cycle_in_band", lambda s, d: Q.cycle_in_band(Q.actual_expected(B.scored(s, d), ["vintage"])))
+_add("prepayment_cpr", lambda s, d: Q.prepayment_by_month(_both(s, d), "month", "h_prepayment"))
+_add("model_incidence", lambda s, d: S.predicted_incidence(_both(s, d)))
+_add("grade_rates", lambda s, d: Q.grade_rates(_graded(s, d)))
+_add("scored_book", lambda s, d: V.scored_book(_graded(s, d)))
+_add("window_criteria", lambda s, d: V.window_criteria(B.scored(s, d), band_label("age", B.AGE_EDGES)))
+_add("cycle_in_band", lambda s, d: Q.cycle_in_band(Q.actual_expected(B.scored(s, d).withColumn("year", F.floor(F.col("month") / 12).cast("int")), ["year"])))
 _add("thin_months", lambda s, d: Q.covered_months(B.scored(s, d).groupBy("month").agg(F.sum("loan_months").alias("loan_months"))))
 _add("age_band_by_vintage", lambda s, d: Q.actual_expected(B.scored(s, d).withColumn("age_band", band_label("age", B.AGE_EDGES)), ["vintage", "age_band"]))
 _add("weighted_covariance", lambda s, d: Q.weighted_moments(B.scored(s, d), ["price", "acctbal"]))
-_add("anchor_multiplier", lambda s, d: Q.anchor(B.scored(s, d)))
+_add("anchor_multiplier", lambda s, d: Q.anchor(B.scored(s, d), CUT, CUT + 23))
+_add("screen_categoricals", lambda s, d: C.screen_categoricals(B.book(s, d).withColumn("one", F.lit(1)), ["segment", "priority", "status", "nation"], "one"))
+_add("covariates_over_time", lambda s, d: V.covariates_over_time(B.scored(s, d), ["price", "acctbal"]))
+_add("cell_shape", lambda s, d: C.cell_shape(B.cell_table(s, d), ["segment", "priority", "outcome"]))
+_add("levels_of_records", lambda s, d: R.level_counts(s, d))
+_add("cells_of_records", lambda s, d: R.record_cells(s, d))
+
+
+def _both(s, d):
+    """Scored cells with hazards of both causes."""
+    return B.scored(s, d).withColumns({"h_default": F.col("hazard"), "h_prepayment": weibull_hazard("age", F.lit(5.0) + F.lit(0.00001) * F.col("acctbal"), 0.1)})
+
+
+def _graded(s, d):
+    p = B.scored(s, d).withColumn("pd_12m", F.greatest(annualised(F.col("hazard")), F.lit(Q.FLOOR)))
+    return p.withColumn("grade", Q.grade(F.col("pd_12m")))
+
+
+def _segments():
+    return {"segment": F.col("segment"), "priority": F.col("priority")}
+
+
+@query
+def origination_of_records(s, d):
+    """Casts, sentinels and regions of raw text records."""
+    o = K.origination(R.raw_origination(s, d))
+    return o.select("loan", "credit_score", "original_ltv", "original_cltv", "debt_to_income", "original_balance", "note_rate", "orig_term", "insurance_coverage", "region")
+
+
+def _outcomes_of_records(**options) -> Query:
+    return lambda s, d: R.record_book(s, d, **options).groupBy("region", "outcome").agg(F.count("*").alias("loan_months"), F.countDistinct("loan").alias("loans"), F.count_if("left_the_book").alias("left_the_book"), F.min("age").alias("youngest"))
+
+
+_add("book_of_records", _outcomes_of_records())
+_add("book_of_records_censored", _outcomes_of_records(policy=K.Moratorium.CENSOR, complete_only=False))
+
+
+@query
+def calibration_by_year_and_segment(s, d):
+    return V.calibration_views(B.scored(s, d), _segments())["actual_expected_by_year"]
+
+
+@query
+def calibration_deciles_by_segment(s, d):
+    return V.calibration_views(B.scored(s, d), _segments())["calibration_by_decile"]
+
+
+@query
+def backtest_by_month_and_segment(s, d):
+    return V.backtest_views(_graded(s, d), _segments())["by_month"]
+
+
+@query
+def grades_by_segment(s, d):
+    return V.backtest_views(_graded(s, d), _segments())["by_grade"]
+
+
+@query
+def to_monthly(s, d):
+    """Mean and last value of a daily series."""
+    daily = B.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("price"))
+    m, last = X.to_monthly(daily, "date", "price"), X.to_monthly(daily, "date", "price", last=True).withColumnRenamed("price", "last_price")
+    return m.join(last, "month").select("month", F.round("price", 4).alias("price"), F.round("last_price", 4).alias("last_price"))
+
+
+@query
+def absorb_not_reported(s, d):
+    b = B.book(s, d).withColumn("acctbal", F.when((F.col("segment") == "BUILDING") & (F.col("loan") % 5 == 0), None).otherwise(F.col("acctbal")))
+    f = X.absorb_not_reported(b, "acctbal", -1.0, F.col("segment") == "BUILDING")
+    return f.groupBy("segment").agg(F.count("acctbal").alias("known"), F.count_if(F.col("acctbal") == -1).alias("absorbed"), F.round(F.sum("acctbal"), 2).alias("acctbal"))
+
+
+@query
+def collinear_pairs(s, d):
+    cols = ["price", "acctbal", "age", "month", "origination_month"]
+    rows = M.collinear_pairs(cols, M.correlations(B.scored(s, d), cols), 0.5)
+    return s.createDataFrame([(a, b, round(r, 6)) for a, b, r in rows], "first string, second string, correlation double")
+
+
+@query
+def cells_in_window(s, d):
+    """Cells written by vintage and read again in a window of observation months; files and row groups outside it are not read."""
+    path = f"{shared_dir(s)}/cells-{uuid.uuid4().hex}"
+    archives.write_cells(B.cell_table(s, d), path)
+    w = archives.read_cells(s, path, CUT, CUT + 11, ["segment", "outcome", "observation_month", "loan_months"])
+    return w.groupBy("observation_month", "segment", "outcome").agg(F.sum("loan_months").alias("loan_months"))
+
+
+@query
+def book_summary(s, d):
+    o = QUERIES["outstanding_by_month"](s, d)
+    return C.book_summary(B.loans(s, d), o, B.table(s, d, "lineitem").count(), B.cell_table(s, d))
+
+
+@query
+def calendar_verdict(s, d):
+    return X.calendar_verdict(calendar_lag_correlation(s, d))
+
+
+@query
+def weighted_mean_by_id(s, d):
+    """Hazards of loans weighted by balances that are listed in another order."""
+    v = B.loans(s, d).groupBy("segment", "priority").agg(F.avg("acctbal").alias("x")).withColumn("id", F.concat_ws("/", "segment", "priority"))
+    w = B.loans(s, d).groupBy(F.concat_ws("/", "segment", "priority").alias("id")).agg(F.count("*").alias("w"))
+    return P.weighted_mean_by_id(v, w, "id", "x", "w")
+
+
+@query
+def classed_with_labels(s, d):
+    b = B.book(s, d).withColumns(binned(B.EDGES))
+    return b.groupBy("price_binned", "price_band", "acctbal_binned", "acctbal_band").agg(F.count("*").alias("loan_months"))
+
+
+@query
+def loan_family(s, d):
+    """Indexed loan-to-value and the refinancing incentive on the panel of loans."""
+    b = B.book(s, d).select("loan", "month", "origination_month", (60 + F.col("loan") % 40).cast("double").alias("original_ltv"), (F.col("acctbal") / 1000).alias("note_rate"))
+    f = X.add_loan_family(b, B.macro(s, d), ["price_index", "discount_rate"], {"gap_discount": X.gap("discount_rate")}, "price_index", "discount_rate")
+    return f.groupBy("month").agg(F.count("*").alias("loan_months"), F.round(F.avg("indexed_cltv"), 6).alias("indexed_cltv"), F.round(F.avg("refinance_incentive"), 6).alias("refinance_incentive"), F.round(F.avg("gap_discount"), 9).alias("gap_discount"))
+
+
+@query
+def projected_vintages(s, d):
+    """Each vintage's loans at age 0 projected along both causes, beside what was observed of it."""
+    start = _both(s, d).where("age = 0").groupBy("vintage", "price", "acctbal", "segment", "priority").agg(F.sum("loan_months").alias("weight"))
+    eta = F.lit(4.6) - F.lit(0.002) * F.col("price") / 1000 + F.lit(0.00002) * F.col("acctbal") + F.when(F.col("segment") == "BUILDING", 0.2).otherwise(0.0)
+    x = start.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    x = x.withColumns({"h_default": weibull_hazard("step", eta, B.LOG_SHAPE), "h_prepayment": weibull_hazard("step", F.lit(5.0) + F.lit(0.00001) * F.col("acctbal"), 0.1)})
+    paths = S.competing_paths(x, ["vintage", "price", "acctbal", "segment", "priority"])
+    return S.projected_against_observed(paths, S.incidence(S.risk_sets(B.cell_table(s, d), ["vintage"]), ["vintage"]), ["vintage"])
+
+
+@query
+def projection_by_segment(s, d):
+    """Term structure and scenarios by segment: PD paths of the book's loans at age 0 under two levels of the hazard, for the whole and every segment."""
+    p = B.cell_table(s, d).where("age = 0").groupBy("segment", "price", "priority").agg(F.sum("loan_months").alias("weight"))
+    eta = F.lit(4.6) - F.lit(0.002) * F.col("price") / 1000 + F.when(F.col("segment") == "BUILDING", 0.2).otherwise(0.0)
+    x = p.withColumn("scenario", F.explode(F.array(F.lit("base"), F.lit("adverse")))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    x = x.withColumn("hazard", F.least(weibull_hazard("step", eta, B.LOG_SHAPE) * F.when(F.col("scenario") == "adverse", 1.5).otherwise(1.0), F.lit(1.0)))
+    paths = S.survival_path(x, ["scenario", "segment", "price", "priority"])
+    return V.projection_views(paths, _segments())
 
 
 @query
 def incomplete_cases(s, d):
-    b = B.book(s, d).withColumn("nation", F.when(F.col("nation") % 7 == 3, None).otherwise(F.col("nation")))
-    return C.incomplete_cases(b, "vintage", ["nation"], exempt=F.col("segment") == "BUILDING")
+    return C.incomplete_cases(B.book(s, d), "vintage", {"nation": (F.col("nation") % 7 == 3) & (F.col("segment") != "BUILDING"), "acctbal": F.col("acctbal") < 0})
 
 
 @query
@@ -144,7 +295,9 @@ def book_by_segment_grouping_sets(s, d):
 
 @query
 def lending_by_segment(s, d):
-    return C.by_segments(B.loans(s, d), "vintage", {"segment": F.col("segment"), "priority": F.col("priority")}, {"loans": F.count("*"), "volume": F.round(F.sum("price"), 2)})
+    first = C.first_month(B.book(s, d), ["vintage", "price", "segment", "priority"])
+    t = C.by_segments(first, "vintage", {"segment": F.col("segment"), "priority": F.col("priority")}, {"loans": F.count("*"), "volume": F.round(F.sum("price"), 2)})
+    return C.segment_shares(t, "vintage", ["loans", "volume"])
 
 
 @query
@@ -189,9 +342,9 @@ def episodes_bounds(s, d):
 
 @query
 def split_train_test(s, d):
-    _, _, mid = _halves(s, d)
+    a, b, mid = _halves(s, d)
     side = F.when(F.col("month") <= mid, "train").otherwise("test")
-    return B.scored(s, d).groupBy(side.alias("side")).agg(F.count("*").alias("cells"), F.sum("loan_months").alias("loan_months"), F.sum(Q.hits()).alias("defaults"), F.max("month").alias("last_month"))
+    return a.unionByName(b).groupBy(side.alias("side")).agg(F.count("*").alias("cells"), F.sum("loan_months").alias("loan_months"), F.sum(Q.hits()).alias("defaults"), F.max("month").alias("last_month"))
 
 
 @query
@@ -219,9 +372,9 @@ def hazard_closed_form(s, d):
 
 @query
 def score_month(s, d):
-    _, _, mid = _halves(s, d)
-    p = B.scored(s, d).where(F.col("month") == mid).withColumn("pd", F.greatest(annualised(F.col("hazard")), F.lit(Q.FLOOR)))
-    return p.groupBy("segment", "priority").agg(F.sum("loan_months").alias("loan_months"), F.round(F.sum(F.col("pd") * F.col("loan_months")) / F.sum("loan_months"), 8).alias("pd_12m"))
+    a, _, mid = _halves(s, d)
+    p = a.where(F.col("month") == mid).withColumn("pd", F.greatest(annualised(F.col("hazard")), F.lit(Q.FLOOR))).withColumn("grade", Q.grade(F.col("pd")))
+    return p.groupBy("segment", "priority", "grade").agg(F.sum("loan_months").alias("loan_months"), F.round(F.sum(F.col("pd") * F.col("loan_months")) / F.sum("loan_months"), 8).alias("pd_12m"))
 
 
 @query
@@ -258,9 +411,10 @@ def projection_term_structure(s, d):
 
 @query
 def competing_paths(s, d):
-    x = s.range(36).select(F.col("id").cast("int").alias("step"), F.lit(1).alias("loan"))
-    x = x.withColumns({"h_default": 0.002 + 0.0001 * F.col("step"), "h_prepayment": 0.01 + 0.0002 * F.col("step")})
-    return S.competing_paths(x, ["loan"]).select("step", *[F.round(c, 9).alias(c) for c in ("survival", "incidence_default", "incidence_prepayment")])
+    """Both causes chained along the ages of each segment, with the hazards the book shows."""
+    r = S.risk_sets(B.cell_table(s, d), ["segment"])
+    x = r.select("segment", F.col("age").alias("step"), (F.col("defaults") / F.col("at_risk")).alias("h_default"), (F.col("prepayments") / F.col("at_risk")).alias("h_prepayment"))
+    return S.competing_paths(x, ["segment"]).select("segment", "step", *[F.round(c, 9).alias(c) for c in ("survival", "incidence_default", "incidence_prepayment")])
 
 
 @query

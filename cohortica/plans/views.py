@@ -55,6 +55,11 @@ def window_criteria(scored: DataFrame, age_bands: Column) -> DataFrame:
     return a.select("vintage", "age_band", "level", "loan_months", "actual", F.round("e", 6).alias("expected"), F.round(F.try_divide("actual", "e"), 6).alias("actual_over_expected"))
 
 
+def projection_views(paths: DataFrame, segments: Mapping[str, Column], step: str = "step") -> DataFrame:
+    """Mean cumulative PD, marginal PD and hazard by scenario and step, for the whole and every segment. Wants scenario, cumulative_pd and weight."""
+    return S.term_structure(_long(paths, segments), [*KEY, "scenario"], step)
+
+
 def scored_book(scored: DataFrame) -> DataFrame:
     """Exposure and PD by grade, and of the whole book, by rollup."""
     w = F.col("loan_months")
@@ -71,7 +76,7 @@ def competing_views(cells: DataFrame, predicted: DataFrame | None = None) -> Dat
 def anchoring_view(scored: DataFrame, windows: Mapping[str, tuple[int, int]], month: str = "month") -> DataFrame:
     out = None
     for name, (first, last) in windows.items():
-        one = Q.anchor(scored.where(F.col(month).between(first, last))).withColumn("window", F.lit(name))
+        one = Q.anchor(scored, first, last, month=month).withColumn("window", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 

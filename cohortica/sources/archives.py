@@ -118,6 +118,17 @@ def fingerprint(description: dict) -> str:
     return hashlib.sha256(json.dumps(description, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def table_identity(spark: SparkSession, path: str) -> str:
+    """A fingerprint of a table's files: names, sizes and times of writing. A table that was written anew has another one, even with as many rows."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, files = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while found.hasNext():
+        f = found.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            files.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(files)).encode()).hexdigest()
+
+
 def save_fit(spark: SparkSession, path: str, fit, description: dict) -> str:
     """A fit as one JSON line under the fingerprint of its description; returns the fingerprint."""
     key = fingerprint(description)
