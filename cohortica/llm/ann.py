@@ -276,9 +276,9 @@ def search_embeddings(vectors: DataFrame, every: int = 20, k: int = 20, list_row
     size = v.groupBy("d").count().orderBy(F.desc("count"), "d").first()
     if size is None:
         return vectors.sparkSession.createDataFrame([], schema)
-    v = cut(v.where(F.col("d") == size.d).withColumn("square", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), "vectors")
+    v = cut(v.where(F.col("d") == size.d).withColumn("square", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), "vectors")
     stats = v.agg(F.count("*").alias("n"), F.max("square").alias("m")).first()
-    total, longest = stats["n"], stats["m"]
+    total, longest, kind = stats["n"], stats["m"], v.schema["embedding"].dataType.simpleString()
     # a bounded sample by a hash of the components, the same in every run; the filter leaves a few more rows than are taken
     mark = F.xxhash64("embedding", F.lit(3))
     some = v if total <= sample_rows else v.where(F.pmod(mark, F.lit(2**40)) < int(min(1.0, 1.2 * sample_rows / total) * 2**40) + 1)
@@ -318,11 +318,11 @@ def search_embeddings(vectors: DataFrame, every: int = 20, k: int = 20, list_row
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("embedding").take(take), pa.array(shard), read], names=["query_id", "query", "shard", "reads"])
 
-    postings = cut(v.select("vec_id", "embedding").mapInArrow(index, "vec_id long, embedding array<double>, shard int, lists array<int>"), "postings")
+    postings = cut(v.select("vec_id", "embedding").mapInArrow(index, f"vec_id long, embedding {kind}, shard int, lists array<int>"), "postings")
     # shards that turn out crowded are cut by hash; a query goes to every piece
     crowd = postings.groupBy("shard").count().select("shard", F.ceil(F.col("count") / (8 * shard_rows)).cast("int").alias("pieces"))
     held = postings.join(crowd, "shard").withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.col("pieces")).cast("int")).select("shard", "piece", "vec_id", "embedding", "lists")
-    asked = v.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(route, "query_id long, query array<double>, shard int, reads array<int>")
+    asked = v.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(route, f"query_id long, query {kind}, shard int, reads array<int>")
     asked = asked.join(crowd, "shard").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("shard", "piece", "query_id", "query", "reads")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:

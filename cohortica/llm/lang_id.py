@@ -5,7 +5,7 @@ own most frequent n-grams are compared with each profile by the out-of-place dis
 ranks are, or the profile's length for an n-gram that the profile lacks. The nearest language wins.
 
 Words are runs of letters, in lower case; n-grams are counted over whole texts. Ties in counts are broken by the
-n-gram, ties in distance by the language. Profiles are learnt from a bounded sample of the labelled rows (sample_rows, chosen by a hash of doc_id, all rows if there are no more): each Arrow batch gives partial counts,
+n-gram, ties in distance by the language. Profiles are learnt from a bounded sample of each language's labelled rows (about sample_rows, chosen by a hash of the row, all rows if there are no more), so a rare language is learnt at every size: each Arrow batch gives partial counts,
 Spark adds them up.
 What is sent to the executors is languages * top rows; languages are a set of labels, and more than max_languages raise an error.
 
@@ -57,7 +57,7 @@ def ranked(grams: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     return grams[np.lexsort((grams, -counts))][:top]
 
 
-def learn(rows: DataFrame, top: int = TOP, max_languages: int = 2_000, sample_rows: int = 40_000) -> dict[str, np.ndarray]:
+def learn(rows: DataFrame, top: int = TOP, max_languages: int = 2_000, sample_rows: int = 10_000) -> dict[str, np.ndarray]:
     """Profiles of the languages of rows (doc_id, text, lang)."""
 
     def partial(batches):
@@ -72,14 +72,19 @@ def learn(rows: DataFrame, top: int = TOP, max_languages: int = 2_000, sample_ro
                 c = np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(c)], names=["lang", "gram", "n"])
 
-    known = rows.where("text is not null and lang is not null")
-    share = min(1.0, sample_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
+    known = rows.where("text is not null and lang is not null").select("doc_id", "lang", "text")
+    sizes = known.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if not sizes:
+        return {}
+    # a share of the hashes for each language; one row per language, so the join may broadcast
+    shares = rows.sparkSession.createDataFrame([(r.lang, int(min(1.0, sample_rows / r["count"]) * 2**62)) for r in sizes], "s_lang string, share long")
+    mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(11)), 2)
+    known = known.join(F.broadcast(shares), F.col("lang") == F.col("s_lang")).where(mark <= F.col("share")).select("lang", "text")
     counts = known.mapInArrow(partial, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = _best(counts, top)
-    rows = best.limit(max_languages * top + 1).collect()
-    if len({r.lang for r in rows}) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    rows = best.collect()  # languages * top rows
     profiles: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.lang, -r.n, r.gram)):
         profiles.setdefault(r.lang, []).append(r.gram)

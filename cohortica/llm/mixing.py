@@ -5,7 +5,7 @@ the source; a second pass over the source follows the first. All (document, pass
 their words reach the total budget.
 
 No group is gathered in a task: running sums are taken in two levels (sums of digest ranges, then rows within a range), and the cut is found
-through a histogram of finish times, of which only the range that holds the cut is sorted.
+digit by digit of the finish time: sums of 4,096 ranges, then of 4,096 parts of the range that holds the cut, until that is a few entries, which are sorted.
 
 Edges: null text has size 0; null source is a source of its own, last in order; a document without words takes part with 0; repeated rows are
 documents of their own; an empty table gives an empty result. A source without words has target 0. Ties in the digest are broken by doc_id
@@ -68,21 +68,28 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     key = lambda e: F.struct(finish(e).alias("finish"), F.col("digest"), F.lit(e).alias("pass"), F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.col("size"))
     passes = range(most)
     entries = run.select(F.explode(F.array(*map(key, passes))).alias("entry")).where("entry.finish is not null")
-    fine = 4096 * max(1, n // 1_000_000)
-    spot = F.floor(F.col("entry.finish") * fine)
-    histogram = entries.groupBy(spot.alias("spot")).agg(F.sum("entry.size").alias("words"))
-    upto = histogram.withColumn("upto", F.sum("words").over(Window.orderBy("spot").rowsBetween(Window.unboundedPreceding, 0)))
     budget = targets.agg(F.sum("source_size")).first()[0] * share
-    # the first range of finish times that would go beyond the budget (one row); within it the entries are sorted
-    over = upto.where(F.col("upto") > budget).orderBy("spot").limit(1).first()
+    # the range of finish times that goes beyond the budget: whole numbers first, then by digits of 12 bits, which doubles hold exactly
+    spots = lambda f, digits: F.floor(f * float(4096**digits))
+    digits, over, spent = 0, None, 0
+    while True:
+        within = entries if over is None else entries.where(spots(F.col("entry.finish"), digits - 1) == over)
+        found = within.groupBy(spots(F.col("entry.finish"), digits).alias("spot")).agg(F.sum("entry.size").alias("words"), F.count("*").alias("n"))
+        upto = found.withColumn("upto", F.sum("words").over(Window.orderBy("spot").rowsBetween(Window.unboundedPreceding, 0)))  # 4,096 rows and, for whole numbers, few
+        row = upto.where(F.col("upto") + spent > budget).orderBy("spot").limit(1).first()
+        if row is None:
+            break
+        over, spent, digits = row.spot, spent + row.upto - row.words, digits + 1
+        if row.n <= rows_per_range or digits == 5:
+            break
     if over is None:
         taken = F.when(F.col("target") > 0, F.lit(most)).otherwise(0)
     else:
-        near = entries.where(spot == over.spot)
-        running = F.sum("entry.size").over(Window.orderBy("entry").rowsBetween(Window.unboundedPreceding, 0)) + (over.upto - over.words)
+        near = entries.where(spots(F.col("entry.finish"), digits - 1) == over)
+        running = F.sum("entry.size").over(Window.orderBy("entry").rowsBetween(Window.unboundedPreceding, 0)) + spent
         last = near.withColumn("running", running).where(F.col("running") <= budget).agg(F.max("entry").alias("e")).first().e
         if last is None:
-            inside_cut = lambda e: F.floor(finish(e) * fine) < over.spot
+            inside_cut = lambda e: spots(finish(e), digits - 1) < over
         else:
             edge = F.struct(F.lit(last.finish).alias("finish"), F.lit(last.digest).alias("digest"), F.lit(last["pass"]).alias("pass"), F.lit(last.doc).alias("doc"), F.lit(last.size).cast("long").alias("size"))
             inside_cut = lambda e: F.col("target").isNotNull() & finish(e).isNotNull() & (key(e) <= edge)
@@ -91,9 +98,16 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each row as often as the mix takes it; columns as in docs."""
-    m = mix(docs, **options).where("passes > 0").select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "passes").groupBy("m_id", "m_key").agg(F.sum("passes").alias("m_passes"), F.count("*").alias("m_rows"))
+    """The documents of the mix: each row as often as the mix takes it; columns as in docs, which must be orderable.
+
+    Rows equal in id, text and source share their passes: p passes of k rows are p // k each, and one more for the first p % k in the order of the other columns.
+    """
+    m = mix(docs, **options).select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), F.col("source").alias("m_source"), "passes").groupBy("m_id", "m_key", "m_source").agg(F.sum("passes").alias("m_passes"), F.count("*").alias("m_rows")).where("m_passes > 0")
     d = docs.withColumn("m_text", F.xxhash64("text"))
-    out = d.join(m, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_text") == F.col("m_key")))
-    # rows equal in id and text share their passes evenly, rounded up
-    return out.withColumn("m_copy", F.explode(F.array_repeat(F.lit(1), F.ceil(F.col("m_passes") / F.col("m_rows")).cast("int")))).select(*docs.columns)
+    out = d.join(m, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_text") == F.col("m_key")) & F.col("source").eqNullSafe(F.col("m_source")))
+    alone = out.where("m_rows = 1").withColumn("m_times", F.col("m_passes"))
+    rest = [c for c in docs.columns if c != "text"]
+    nth = F.row_number().over(Window.partitionBy("m_id", "m_key", "m_source").orderBy(*rest))
+    equal = out.where("m_rows > 1").withColumn("m_times", F.floor(F.col("m_passes") / F.col("m_rows")) + F.when(nth <= F.col("m_passes") % F.col("m_rows"), 1).otherwise(0))
+    both = alone.unionByName(equal)
+    return both.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("m_times") > 0, F.col("m_times").cast("int"))))).select(*docs.columns)

@@ -48,7 +48,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_codec.encode_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), digests_only=True)
+    model = spark.conf.get("spark.cohortica.tokenizer", sp_codec.MODEL)
+    return sp_codec.encode_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), model, digests_only=True)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +111,8 @@ SELECT s.doc_id, CAST(len(x) AS BIGINT) AS n_shingles, min(reached) AS component
 LINE_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 h AS (SELECT doc_id, lines, list_transform(lines, lambda x: md5(x)) AS hs FROM d WHERE text IS NOT NULL),
-r AS (SELECT doc_id, lines, len(lines) AS n, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR
-      substr(md5((CASE WHEN i = 1 THEN '' ELSE hs[i - 1] END) || hs[i]), 1, 1) IN ('0', '1', '2', '3', '4')) AS ends FROM h),
+e AS (SELECT doc_id, lines, len(lines) AS n, list_transform(range(1, len(lines) + 1), lambda i: i > 1 AND substr(md5((CASE WHEN i = 1 THEN '' ELSE hs[i - 1] END) || hs[i]), 1, 1) < '8') AS marked FROM h),
+r AS (SELECT doc_id, lines, n, list_filter(range(1, n + 1), lambda i: i = n OR (i < n - 1 AND marked[i] AND NOT marked[i - 1])) AS ends FROM e),
 c AS (SELECT doc_id, lines, k, (CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END) + 1 AS a, ends[k] AS b
       FROM (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS k FROM r)),
 m AS (SELECT doc_id, k, a, b, array_to_string(lines[a:b], chr(10)) AS bytes FROM c WHERE b > a),

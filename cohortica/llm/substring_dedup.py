@@ -5,7 +5,7 @@
 2. Recurring anchors are the phrases to look for. Documents are dealt into shards of bounded size by hash; a shard gets the phrases that some document of it
    may hold, takes their words from its own documents, and compiles them to an Aho-Corasick automaton (words as symbols, told apart by 64 bits of hash). All documents of the shard are streamed
    through it, which finds every occurrence of every phrase.
-3. Windows anchored at an occurrence are counted over the corpus by 96 bits of hash. Windows that are alone go back to their shard (a window
+3. Windows anchored at an occurrence are counted over the corpus by 64 + 31 bits of hash (both made of 64-bit hashes of the words). Windows that are alone go back to their shard (a window
    seen once is held by one document, so nothing hot is ever joined); all other windows anchored at an occurrence recur, and the words they cover are removed.
 
 All counts combine before the shuffle. The texts are shuffled once: both times that documents meet shard data the same exchange is read. Windows are judged
