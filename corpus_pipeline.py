@@ -15,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; lang becomes the language found."""
+    """Documents without a recognisable language go; lang becomes the language found. A null text has none."""
     return lang_id.keep_identified(docs).select(*COLUMNS)
 
 
@@ -26,7 +26,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays. Similarity 0.8, five-word shingles; no pair is missed."""
+    """Of each group of near copies one row stays, that with the smallest id. Similarity 0.8, five-word shingles; no pair is missed."""
     return ngram_join.keep_one(docs, jaccard=0.8, width=5).select(*COLUMNS)
 
 
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts as piece ids."""
-    return sp_codec.encode_documents(docs).select("doc_id", "lang", "source", "pieces", "n_pieces", "lossless")
+    return sp_codec.encode_documents(docs, spark.conf.get("spark.cohortica.tokenizer", sp_codec.MODEL)).select("doc_id", "lang", "source", "pieces", "n_pieces", "lossless")
 
 
 STAGES = [
@@ -51,10 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole of documents. The table before the last stage stays until common.release() or the end of the session's folder: the result is read from it."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.written(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.cut(docs, f"stage{k}")
+            # what the stage read and wrote on its way is not needed any more
+            common.release(spark, 1, start)
     return docs
