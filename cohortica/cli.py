@@ -12,9 +12,12 @@ from cohortica.operators import book as B
 from cohortica.operators import cells as C
 from cohortica.operators import macro as X
 from cohortica.operators import metrics as Q
+from cohortica.operators import panel as P
+from cohortica.operators import survival as S
 from cohortica.operators.model import backward_selection
 from cohortica.plans import backtest
-from cohortica.sources import archives
+from cohortica.plans import views as V
+from cohortica.sources import archives, shared
 
 
 def _cells(spark: SparkSession, args) -> DataFrame:
@@ -52,7 +55,7 @@ def profile(spark, args):
 def _fit(spark, args, family: str = "weibull"):
     names = args.covariates.split(",") if args.covariates else []
     c = _cells(spark, args)
-    return c, archives.fit_once(spark, args.fits, {"table": archives.table_identity(spark, args.input), "covariates": names, "family": family}, lambda: backtest.fit_aft(c, names, family=family))
+    return c, archives.fit_once(spark, args.fits, {"table": archives.table_identity(spark, args.input), "covariates": names, "family": family}, lambda start: backtest.fit_aft(c, names, family=family, start=start), warm=True)
 
 
 def fit(spark, args):
@@ -83,6 +86,41 @@ def select(spark, args):
     return spark.createDataFrame([(k, json.dumps(t)) for k, t in enumerate(trace)], "step int, record string")
 
 
+def backtest_(spark, args):
+    r = backtest.backtest(_cells(spark, args), args.covariates.split(","), int(args.cuts))
+    return spark.createDataFrame([(r.cut, r.multiplier, r.actual_over_expected, r.gini, r.passed)], "cut int, multiplier double, actual_over_expected double, gini double, passed boolean")
+
+
+def family(spark, args):
+    """Marginal families on the durations of the cells."""
+    rows = [(r.duration, r.event, r.loans) for r in P.durations(S.risk_sets(_cells(spark, args))).collect()]  # a row per duration and event
+    return spark.createDataFrame([(r["family"], r["aic"], r["log_scale"], r["log_shape"]) for r in P.marginal_families(rows)], "family string, aic double, log_scale double, log_shape double")
+
+
+def views(spark, args):
+    """Calibration and back-test views of a fit, with their manifest."""
+    c, f = _fit(spark, args)
+    scored, segments = backtest.score(c, f), {n: F.col(n) for n in (args.columns or "").split(",") if n}
+    tables = V.calibration_views(scored, segments) | V.backtest_views(scored, segments)
+    entries = archives.write_views(tables, args.output, {n: {"input": args.input, "covariates": args.covariates} for n in tables})
+    return spark.createDataFrame([(e["view"], ",".join(e["columns"]), e["fingerprint"]) for e in entries], "view string, columns string, fingerprint string")
+
+
+def report(spark, args):
+    """Coefficients and grades of a fit as Markdown, in one file."""
+    c, f = _fit(spark, args)
+    grades = Q.grade_backtest(backtest.score(c, f))
+    text = "\n\n".join(["# Fit", archives.markdown_table([{"parameter": n, "coefficient": round(b, 6), "standard error": round(s, 6)} for n, b, s, *_ in f.table()]), "# Grades", archives.markdown_table(grades)])
+    spark.createDataFrame([(line,) for line in text.split("\n")], "value string").coalesce(1).write.mode("overwrite").text(args.output)
+    return spark.createDataFrame([(r["grade"], r["passed"]) for r in grades], "grade int, passed boolean")
+
+
+def fetch_macro(spark, args):
+    """A series of a delimited file (month, value) into the cache."""
+    read = lambda: spark.read.schema("month int, value double").option("header", True).csv(args.input)
+    return archives.cached_series(spark, args.output, args.kind, read).agg(F.min("month").alias("first"), F.max("month").alias("last"), F.count("*").alias("months"))
+
+
 def moratorium(spark, args):
     """Outcomes under the three policies."""
     perf, orig, out = spark.read.parquet(args.input), spark.read.parquet(args.origination), None
@@ -94,10 +132,11 @@ def moratorium(spark, args):
 
 def check_calendar(spark, args):
     m = _cells(spark, args).groupBy("month").agg(F.sum("loan_months").alias("loan_months"), F.sum(Q.hits()).alias("defaults"))
-    return X.lag_correlation(m, m, "month", "defaults", "loan_months").orderBy("shift")
+    lags = X.lag_correlation(m, m, "month", "defaults", "loan_months")
+    return lags.join(F.broadcast(X.calendar_verdict(lags).select("best_shift", "calendar_is_right"))).orderBy("shift")  # one row
 
 
-COMMANDS = {f.__name__.replace("_", "-"): f for f in (ingest, audit, aggregate, portfolio, profile, fit, compare, score, windows, select, moratorium, check_calendar)}
+COMMANDS = {f.__name__.replace("_", "-"): f for f in (ingest, audit, aggregate, portfolio, profile, fit, compare, score, windows, select, moratorium, check_calendar, family, views, report, fetch_macro)} | {"backtest": backtest_}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
@@ -110,7 +149,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     p.add_argument("--policy", default="exclude", choices=[x.value for x in B.Moratorium])
     p.add_argument("--definition", default="delinquency", choices=[x.value for x in B.Definition])
     args = p.parse_args(argv)
-    out = COMMANDS[args.command](spark or SparkSession.builder.appName("cohortica").getOrCreate(), args)
+    out = COMMANDS[args.command](spark or shared.session(), args)
     out.show(200, truncate=False)
     return out
 

@@ -72,12 +72,9 @@ def beta_ppf(p: float, a: float, b: float) -> float:
 
 
 def jeffreys_interval(events: float, exposure: float, level: float = 0.95) -> tuple[float, float]:
-    """Interval of a rate under the Jeffreys prior; it starts at 0 without events and ends at 1 with nothing else. Events may outnumber the exposure, which is then all events."""
-    tail = (1 - level) / 2
-    exposure = max(exposure, events)
-    low = 0.0 if events <= 0 else beta_ppf(tail, events + 0.5, exposure - events + 0.5)
-    high = 1.0 if events >= exposure else beta_ppf(1 - tail, events + 0.5, exposure - events + 0.5)
-    return low, high
+    """Interval of a rate under the Jeffreys prior, Beta(events + 1/2, exposure - events + 1/2); events beyond the exposure count as all of it."""
+    tail, rest = (1 - level) / 2, max(exposure - events, 0.0) + 0.5
+    return beta_ppf(tail, events + 0.5, rest), beta_ppf(1 - tail, events + 0.5, rest)
 
 
 def likelihood_ratio(full: float, reduced: float, df: int) -> tuple[float, float]:

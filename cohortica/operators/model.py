@@ -1,14 +1,14 @@
 """Parametric survival models of monthly hazards: distributed Newton, tests, selection helpers.
 
 The likelihood of a row is that of its month, given survival to its start: survive with exp(-D), fail with 1 - exp(-D), D the rise of the cumulative hazard. D depends on
-eta (log scale, linear in the covariates) and on the log shape. Value, gradient and Hessian are sums over rows: each partition gives one small row of sums, and the
-driver adds them in a fixed order and takes the step. Rows are collapsed by covariates, age and event beforehand, once.
+eta (log scale, linear in the covariates) and on the log shape. Value, gradient and Hessian are sums over rows: each partition gives one small row of sums, which are
+added up in a shuffle, and the driver takes the step. Rows are collapsed by covariates, age and event beforehand, once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,8 +82,8 @@ def sums(family: str, x: np.ndarray, age: np.ndarray, event: np.ndarray, w: np.n
     return np.concatenate([[(w * value).sum()], g, h.ravel()])
 
 
-def fit_aft(cells: DataFrame, covariates: Sequence[str], cause: str = DEFAULT, family: str = "weibull", weight: str = "loan_months", rounds: int = 60, start: np.ndarray | None = None) -> Fit:
-    """Damped Newton until a step is under a thousandth of a standard error. Weights are whole and positive."""
+def fit_aft(cells: DataFrame, covariates: Sequence[str], cause: str = DEFAULT, family: str = "weibull", weight: str = "loan_months", rounds: int = 60, start: Mapping[str, float] | None = None) -> Fit:
+    """Damped Newton until a step is under a thousandth of a standard error. Weights are whole and positive. start: parameters by name, as a fit gives them; those it lacks start at 0."""
     if family not in ("weibull", "log_logistic"):
         raise ValueError(f"no such family: {family}")
     rows = cells.select(*[F.col(c).cast("double").alias(c) for c in covariates], F.col("age").cast("double").alias("age"), (F.col("outcome") == cause).alias("event"), F.col(weight).alias("w")).na.drop()
@@ -108,12 +108,16 @@ def fit_aft(cells: DataFrame, covariates: Sequence[str], cause: str = DEFAULT, f
                     out += sums(family, x, b.column("age").to_numpy(), b.column("event").to_numpy(zero_copy_only=False), b.column("w").to_numpy().astype(float), theta)
                 yield pa.RecordBatch.from_pydict({"s": [out.tolist()]})
 
-            parts = rows.mapInArrow(part, "s array<double>").collect()  # one row of sums per partition
-            return np.sum(sorted((r.s for r in parts)), axis=0)
+            # one row of sums per partition, added up place by place: the driver gets a row for each place
+            sums_ = rows.mapInArrow(part, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+            return np.array([r.v for r in sorted(sums_.collect(), key=lambda r: r.i)])
 
-        theta = np.append(np.zeros(k), 0.0) if start is None else start.copy()
+        theta = np.zeros(k + 1)
         if start is None:
             theta[0] = math.log(stats.n / stats.d)
+        else:
+            slopes = np.array([start.get(c, 0.0) for c in covariates])
+            theta[:] = [start.get("intercept", 0.0) + slopes @ mean, *(slopes * sd), start.get("log_shape", 0.0)]
         s = total(theta)
         for n in range(1, rounds + 1):  # noqa: B007
             g, h = s[1 : k + 2], s[k + 2 :].reshape(k + 1, k + 1)

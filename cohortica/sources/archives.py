@@ -7,7 +7,7 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +114,38 @@ def read_view(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(path), json.loads(spark.read.text(f"{path}.description").first().value)
 
 
+def write_views(views: Mapping[str, DataFrame], path: str, descriptions: Mapping[str, dict]) -> list[dict]:
+    """Views side by side, and a manifest of their names, columns and fingerprints, written last."""
+    entries = [{"view": n, **write_view(v, f"{path}/{n}", descriptions.get(n, {}))} for n, v in views.items()]
+    if entries:
+        spark = next(iter(views.values())).sparkSession
+        spark.createDataFrame([(json.dumps(e, sort_keys=True),) for e in entries], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return entries
+
+
+def read_manifest(spark: SparkSession, path: str) -> list[dict]:
+    return sorted((json.loads(r.value) for r in spark.read.text(f"{path}/manifest").collect()), key=lambda e: e["view"])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def cached_series(spark: SparkSession, path: str, name: str, fetch: Callable[[], DataFrame], first: int | None = None, last: int | None = None) -> DataFrame:
+    """month, value of a series: from the cache, or fetch() once and keep it. Months outside first and last are left out; a series that begins after first, or has no month at all, is an error."""
+    place = f"{path}/{name}"
+    if not _exists(spark, f"{place}/_SUCCESS"):
+        fetch().select(F.col("month").cast("int").alias("month"), F.col("value").cast("double").alias("value")).coalesce(1).write.mode("overwrite").parquet(place)
+    series = spark.read.parquet(place)
+    start = series.where("value is not null").agg(F.min("month")).first()[0]
+    if start is None or (first is not None and start > first):
+        raise ValueError(f"{name} begins in month {start}, {first} is asked for")
+    if first is not None:
+        series = series.where(F.col("month") >= first)
+    return series.where(F.col("month") <= last) if last is not None else series
+
+
 def fingerprint(description: dict) -> str:
     return hashlib.sha256(json.dumps(description, sort_keys=True, default=str).encode()).hexdigest()
 
@@ -137,24 +169,43 @@ def save_fit(spark: SparkSession, path: str, fit, description: dict) -> str:
     return key
 
 
+def find_fits(spark: SparkSession, path: str, **wanted) -> list[dict]:
+    """Descriptions and fingerprints of the kept fits that have all the wanted entries, best likelihood first."""
+    if not _exists(spark, path):
+        return []
+    found = [json.loads(r.value) for r in spark.read.text(f"{path}/*").collect()]  # a line per fit
+    rows = [{"fingerprint": fingerprint(b["description"]), **b["description"], "log_likelihood": b["log_likelihood"]} for b in found if all(b["description"].get(k) == v for k, v in wanted.items())]
+    return sorted(rows, key=lambda r: -r["log_likelihood"])
+
+
 def load_fit(spark: SparkSession, path: str, description: dict):
     """The fit of a description, or None."""
     import numpy as np
 
     from cohortica.operators.model import Fit
 
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{fingerprint(description)}")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not _exists(spark, f"{path}/{fingerprint(description)}"):
         return None
     b = json.loads(spark.read.text(f"{path}/{fingerprint(description)}").first().value)
     return Fit(b["family"], b["names"], np.array(b["params"]), np.array(b["covariance"]), b["log_likelihood"], b["rounds"], b["events"], b["exposure"])
 
 
-def fit_once(spark: SparkSession, path: str, description: dict, fit):
-    """The cached fit of a description, or fit() and keep it."""
+def warm_start(spark: SparkSession, path: str, description: dict):
+    """Parameters by name of the best kept fit of the same family that shares most covariates, or None. Another table's fit may serve: a start changes no result, only the number of steps."""
+    rows = find_fits(spark, path, family=description.get("family"))
+    mine = set(description.get("covariates", ()))
+    best = max(rows, key=lambda r: len(mine & set(r.get("covariates", ()))), default=None)
+    if best is None:
+        return None
+    kept = load_fit(spark, path, {k: v for k, v in best.items() if k not in ("fingerprint", "log_likelihood")})
+    return kept and dict(zip(kept.names, kept.params.tolist(), strict=True))
+
+
+def fit_once(spark: SparkSession, path: str, description: dict, fit, warm: bool = False):
+    """The cached fit of a description, or fit() and keep it. warm: fit is given the parameters of a kept fit like it, or None."""
     found = load_fit(spark, path, description)
     if found is None:
-        found = fit()
+        found = fit(*([warm_start(spark, path, description)] if warm else []))
         save_fit(spark, path, found, description)
     return found
 

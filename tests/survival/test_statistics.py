@@ -28,7 +28,7 @@ def test_special_functions():
     assert abs(special.chi2_sf(3.841458820694124, 1) - 0.05) < 1e-12
     assert abs(special.beta_cdf(0.3, 2, 5) - 0.579825) < 1e-6
     assert abs(special.beta_ppf(special.beta_cdf(0.2, 3.5, 9), 3.5, 9) - 0.2) < 1e-10
-    assert special.jeffreys_interval(0, 100)[0] == 0 and special.jeffreys_interval(100, 100)[1] == 1
+    assert 0 < special.jeffreys_interval(0, 10_000)[0] < 1e-6 and special.jeffreys_interval(100, 100)[1] < 1
 
 
 def test_classing_is_right_closed_and_labels_left_closed(spark):
@@ -64,7 +64,7 @@ def test_gini_does_not_depend_on_order_of_ties(spark):
 def test_grade_without_defaults_is_judged_on_the_interval(spark):
     d = spark.createDataFrame([(0.00001, "none", 100, 0.0001)], "hazard double, outcome string, loan_months long, pd_12m double")
     (r,) = Q.grade_backtest(d)
-    assert r["passed"] and r["low"] == 0
+    assert r["passed"] and 0 < r["low"] < 0.0001 and r["judged_on"] == "interval"
 
 
 def test_gradient_is_the_slope_of_the_value():
