@@ -88,6 +88,46 @@ def test_license_short_and_wrapped_notices(spark):
     assert [r.paragraph for r in license_scan.scan_paragraphs(d.where(F.col("text") == wrapped)).collect()] == [1]
 
 
+def brute_notices(text):
+    """(first line, family) of the confirmed notices of a text: plain sums over the n-grams of each line, and of blocks of lines."""
+    model, found = license_scan.train(), []
+    at = {g: i for i, g in enumerate(model["vocabulary"])}
+
+    def family(paragraph):
+        g = license_scan.grams_of(paragraph)
+        known = [at[x] for x in g if x in at]
+        z = model["weights"][known].sum(axis=0) + model["weights"][-1]
+        c = model["classes"][int(z.argmax())]
+        if not known or c == license_scan.UNKNOWN or 1 / np.exp(z - z.max()).sum() < 0.9:
+            return None
+        like = max(len(g & license_scan.grams_of(t)) / len(license_scan.grams_of(t)) for t in license_scan.TEMPLATES[c])
+        return c if like >= 0.6 or any(license_scan.grams_of(n) <= g for n in license_scan.NAMES.get(c, ())) else None
+
+    lines = text.split("\n")
+    blank = [not x.strip(" \t\r") for x in lines]
+    starts = [k for k in range(len(lines)) if k == 0 or blank[k]]
+    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+        own = [(k, f) for k in range(a, b) if (f := family(lines[k]))]
+        found += own
+        if sum(not x for x in blank[a:b]) > 1 and (f := family("\n".join(lines[a:b]))) and f not in {x for _, x in own}:
+            found.append((a, f))
+    return sorted(found)
+
+
+def test_license_scan_against_brute_force(spark):
+    rnd = random.Random(12)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    notices = [t for t, _ in license_scan.variants(7, 1) + license_scan.named(7, 1)]
+    for k in range(60):
+        w = rnd.choice(notices).split()
+        cut = sorted(rnd.sample(range(len(w) + 1), min(len(w), rnd.randint(0, 3))))
+        wrapped = "\n".join(" ".join(w[a:b]) for a, b in zip([0, *cut], [*cut, len(w)], strict=True))
+        rows.append((None if k == 0 else 10_000 + k, rnd.choice(["", "Title\n\n", "Some words\n", " \t\n"]) + wrapped + rnd.choice(["", "\n\nmore", "\n" + rnd.choice(notices)])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, *x) for i, t in rows if t is not None for x in brute_notices(t))
+    assert Counter((r.doc_id, r.paragraph, r.family) for r in license_scan.scan_paragraphs(d).collect()) == want and sum(want.values()) > 50
+
+
 def test_license_model_on_held_out_variants(spark):
     rows = license_scan.variants(99, 4)
     d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
