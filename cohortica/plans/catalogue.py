@@ -15,6 +15,7 @@ from cohortica.operators import macro as X
 from cohortica.operators import metrics as Q
 from cohortica.operators import model as M
 from cohortica.operators import panel as P
+from cohortica.operators import selection as L
 from cohortica.operators import survival as S
 from cohortica.plans import records as R
 from cohortica.plans import standin as B
@@ -442,6 +443,19 @@ def selection_trace(s, d):
     return s.createDataFrame([(k, ",".join(t["covariates"]), t["log_likelihood"], t["aic"], t["dropped"], t["reason"]) for k, t in enumerate(trace)], "step int, covariates string, log_likelihood double, aic double, dropped string, reason string")
 
 
+@query
+def selection_procedure(s, d):
+    """The whole procedure over the stand-in cells: what became of every candidate."""
+    c = B.cell_table(s, d).withColumn("month", F.col("origination_month") + F.col("age"))
+    m = B.macro(s, d).withColumns({"price_index": F.col("price_index") / 100_000, "volume": F.col("volume") / 100})
+    c = X.add_family(c, m, ["price_index", "volume", "discount_rate"]).withColumns({"price": F.col("price") / 100_000, "acctbal": F.col("acctbal") / 1_000, "index_level": X.level("price_index"), "volume_level": X.level("volume"), "rate_gap": X.gap("discount_rate")})
+    c = c.na.drop(subset=["index_level", "volume_level", "rate_gap"])
+    r = L.run_selection(c, ["price", "acctbal"], ["index_level", "volume_level", "rate_gap"], {"index_level": 1}, {"index_level": "activity", "volume_level": "activity"}, L.origination_halves())
+    kept = L.terms(r.fit)
+    rows = [(n, n in kept, round(kept[n]["coefficient"], 6) if n in kept else None, r.eliminated.get(n)) for n in ("price", "acctbal", "index_level", "volume_level", "rate_gap")]
+    return s.createDataFrame(rows, "covariate string, kept boolean, coefficient double, reason string")
+
+
 @query
 def vif(s, d):
     cols = ["price", "acctbal", "age"]

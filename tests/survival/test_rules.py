@@ -12,6 +12,7 @@ from cohortica.operators import macro as X
 from cohortica.operators import metrics as Q
 from cohortica.operators import model as M
 from cohortica.operators import panel as P
+from cohortica.operators import selection as L
 from cohortica.operators import survival as S
 from cohortica.sources import archives, shared
 
@@ -151,3 +152,42 @@ def test_views_have_a_manifest(spark, tmp_path):
     archives.write_views({"b": spark.range(3).toDF("x"), "a": spark.range(2).toDF("y")}, str(tmp_path), {"a": {"about": "two"}})
     m = archives.read_manifest(spark, str(tmp_path))
     assert [e["view"] for e in m] == ["a", "b"] and m[0]["about"] == "two" and m[0]["columns"] == ["y"]
+
+
+def made_up(names, params, p):
+    """A fit with given coefficients and p-values (by their z)."""
+    import numpy as np
+
+    z = [abs(special.normal_ppf(x / 2)) for x in p]
+    errors = [abs(b) / max(x, 1e-9) if b else 1.0 for b, x in zip(params, z, strict=True)]
+    return M.Fit("weibull", ["intercept", *names, "log_shape"], np.array([4.0, *params, 0.2]), np.diag([0.01, *(e * e for e in errors), 0.01]), -10.0, 1, 5, 100)
+
+
+def test_selection_rules():
+    f = made_up(["a", "b", "c"], [0.5, -0.2, 0.1], [1e-9, 1e-3, 0.5])
+    assert L.worst(f, {}, {"b": 1}) == ("b", "sign against its prior")
+    assert L.worst(f, {"a": -1.0, "c": 0.3}, {}) == ("a", "sign turned from the one alone")
+    assert L.worst(f, {}, {}) == ("c", "not significant") and L.worst(f, {}, {}, skip=["c"]) is None
+    g = made_up(["a", "b", "c"], [0.5, 0.2, 0.1], [1e-9, 1e-3, 0.5])
+    t = L.stability_table(f, {"x": g}, {"a": 1.0, "b": 1.0, "c": 2.0}, {"a": "one", "b": "one"})
+    assert [r["stable"] for r in t] == [True, False, True] and L.not_identified(t) == ("b", "a")
+    assert L.not_identified(t, ["b"]) is None and L.not_identified(L.stability_table(f, {"x": g}, {"a": 1.0, "b": 1.0, "c": 2.0}, {})) is None
+    assert L.immaterial(f, {"a": 1.0, "b": 0.05, "c": 0.1}, ["b", "c"]) == ("b", pytest.approx(-0.01)) and L.immaterial(f, {"a": 0.001, "b": 1.0, "c": 1.0}, ["b", "c"]) is None
+    assert L.screened("a", f, made_up([], [], []), 2.0, -1)["sign_agrees"] is False
+
+
+def test_selection_keeps_what_matters(spark):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(3), []
+    for x in range(-2, 3):
+        for z in range(-2, 3):
+            for y in (1998 * 12, 1999 * 12):
+                for a in range(24):
+                    h = -math.expm1(-(((a + 1) / math.exp(4 + 0.4 * x)) ** 1.3 - (a / math.exp(4 + 0.4 * x)) ** 1.3))
+                    bad = int(rng.binomial(400, h))
+                    rows += [(float(x), float(z), float(x) + 0.01 * float(rng.normal()), a, y, o, n) for o, n in (("default", bad), ("none", 400 - bad)) if n]
+    d = spark.createDataFrame(rows, "x double, z double, twin double, age int, origination_month int, outcome string, loan_months long")
+    r = L.run_selection(d, ["x"], ["z", "twin"], splits=L.origination_halves())
+    assert r.covariates == ["x"] and r.collinear[0][:2] == ("x", "twin") and set(r.eliminated) == {"z", "twin"}
+    assert r.fit.params[1] == pytest.approx(0.4, abs=0.05) and [s["stable"] for s in r.stability] == [True]
