@@ -6,13 +6,14 @@ A document's set holds its distinct word shingles as 64-bit hashes. Equal sets b
 * light sets (size up to a boundary) enumerate their subsets of fixed size: all ways to leave out as many elements as a partner may lack;
 * heavy sets are put into inverted lists of single shingles, rarest first: of the n shingles of a set, in one order for all sets, a partner must hold one
   of the first n - ceil(J * n) + 1, so only these lists are kept and scanned. The order is by frequency in the corpus, so what a third of all documents
-  share comes last and fills no list. Frequencies are counted over all documents into a sketch of fixed size; any order gives right results.
+  share comes last and fills no list. Frequencies of shingles and of their words are counted over all documents into sketches of fixed size: in a large corpus every counter of
+  shingles is full, but shingles of rare words are still told apart. Any order gives right results.
 
 The boundary is chosen by cost: rows that enumeration gives against rows of the lists and what is met in scanning them, from list lengths measured in the sketch.
 
-Lists are scanned in order of key. A list of up to `short` sets gives its pairs that agree in size; longer ones, near copies in great number, are tied to the list's smallest set,
-so that rows stay in proportion. A key that the sketch counts often is cut into pieces by hash, tied to one another, so no list is one task. Pairs are
-tested with a bitmap of parities of each set (differing bits never outnumber differing shingles, so no link is lost). What is left forms clusters; each
+Lists are scanned in order of key. A list of up to `short` sets gives its pairs that agree in size; longer ones only give their members, so that rows stay in proportion. A key that the
+sketch counts often is cut into pieces by hash, so no list is one task. Pairs are tested with a bitmap of parities of each set (differing bits never outnumber differing shingles, so no link
+is lost). The members of a long list are dealt out by size with their bitmaps and tested there, so sets that only share a frequent shingle are not tied. What is left forms clusters; each
 cluster's sets come together once, and inside a cluster overlaps are counted by scanning shingle lists, with exact intersection sizes. Large clusters are dealt out by size,
 and as pairs of bounded chunks. Pairs that are already connected are not counted again, for only components are asked for.
 
@@ -29,14 +30,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortica.llm.common import components, cut
+from cohortica.llm.common import components, cut, smallest_reachable
 
 U = np.uint64
-#: Counters of the sketch of frequencies, as a power of two.
-BITS = 22
+#: Counters of the sketches of frequencies, of shingles and of words, as powers of two.
+BITS, WORD_BITS = 22, 20
 GOLD, M1, M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 
@@ -47,27 +48,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def shingles(text: str, width: int, seed: int = 0) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text, A-Z in lower case."""
+def in_order(text: str, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text, A-Z in lower case, and of its word shingles, as they come."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, U)
     h = xxhash.xxh3_64_intdigest
     w = np.fromiter(map(h, words), U, len(words)) + U(seed % 2**63)
     if len(w) < width:
-        return np.array([h(b" ".join(words), seed + 1)], U)
+        return w, np.array([h(b" ".join(words), seed + 1)][: len(w)], U)
     x = np.zeros(len(w) - width + 1, U)
     for k in range(width):
         x = mixed(x * GOLD + w[k : len(w) - width + 1 + k])
-    return np.unique(x)
+    return w, x
+
+
+def shingles(text: str, width: int, seed: int = 0) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text."""
+    return np.unique(in_order(text, width, seed)[1])
+
+
+def weighed(text: str, width: int, seed: int, order: Order) -> tuple[np.ndarray, np.ndarray]:
+    """shingles(), and of each the sum of its words' levels."""
+    w, x = in_order(text, width, seed)
+    x, at = np.unique(x, return_index=True)
+    level = order.words[(w & U(2**WORD_BITS - 1)).astype(np.int64)].astype(np.int32)
+    return x, sum((level[at + k] for k in range(width)), np.zeros(len(x), np.int32)) if len(w) >= width else np.zeros(len(x), np.int32)
 
 
 class Order:
-    """One order of all shingles, by how many documents hold them: a sketch of 2 ** BITS counters, each kept as a sixth of a power of two, in a byte."""
+    """One order of all shingles, by how many documents hold them and by how frequent their words are: sketches of 2 ** BITS and 2 ** WORD_BITS counters, each kept as a sixth of a power of two, in a byte."""
 
-    def __init__(self, level: np.ndarray, usual: float):
-        #: Levels of the counters, and the counters' mean.
-        self.level, self.usual = level, usual
+    def __init__(self, level: np.ndarray, usual: float, words: np.ndarray | None = None):
+        #: Levels of the counters, and the counters' mean; levels of the words' counters.
+        self.level, self.usual, self.words = level, usual, np.zeros(2**WORD_BITS, np.uint8) if words is None else words
         #: Keys counted more often than this are cut into pieces of about this many rows.
         self.often = max(20_000.0, 8 * usual)
 
@@ -79,9 +91,11 @@ class Order:
         """Documents that hold each shingle: never fewer than there are, but for rounding."""
         return np.exp2(self.level[(x & U(2**BITS - 1)).astype(np.int64)] / 6) - 1
 
-    def first(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n rarest shingles of a set, ties by hash."""
-        level = self.level[(x & U(2**BITS - 1)).astype(np.int64)]
+    def first(self, x: np.ndarray, n: int, weight: np.ndarray | None = None) -> np.ndarray:
+        """The n rarest shingles of a set, ties by hash. weight: sums of the words' levels; they count a twelfth of the shingles' own."""
+        level = self.level[(x & U(2**BITS - 1)).astype(np.int64)].astype(np.int32) * 12
+        if weight is not None:
+            level += weight
         if n < len(x):
             least = np.partition(level, n - 1)[n - 1]
             x, level = x[level <= least], level[level <= least]
@@ -93,9 +107,9 @@ def n_lists(size: int, jaccard: float) -> int:
     return size - math.ceil(jaccard * size - 1e-9) + 1
 
 
-def lists_of(x: np.ndarray, jaccard: float, order: Order) -> np.ndarray:
+def lists_of(x: np.ndarray, jaccard: float, order: Order, weight: np.ndarray | None = None) -> np.ndarray:
     """Keys of the inverted lists of a heavy set."""
-    return order.first(x, n_lists(len(x), jaccard))
+    return order.first(x, n_lists(len(x), jaccard), weight)
 
 
 def parities(x: np.ndarray) -> np.ndarray:
@@ -129,27 +143,29 @@ def boundary(sets: dict[int, int], scanned: dict[int, float], jaccard: float) ->
     return best
 
 
-def keys_of(x: np.ndarray, jaccard: float, light: int, order: Order) -> np.ndarray:
+def keys_of(x: np.ndarray, jaccard: float, light: int, order: Order, weight: np.ndarray | None = None) -> np.ndarray:
     n = len(x)
     if n > light:
-        return lists_of(x, jaccard, order)
+        return lists_of(x, jaccard, order, weight)
     # a light set near the boundary may have heavy partners
-    return np.concatenate([subsets_of(x, jaccard), lists_of(x, jaccard, order)]) if n >= jaccard * (light + 1) - 1e-9 else subsets_of(x, jaccard)
+    return np.concatenate([subsets_of(x, jaccard), lists_of(x, jaccard, order, weight)]) if n >= jaccard * (light + 1) - 1e-9 else subsets_of(x, jaccard)
 
 
 def counted_order(docs: DataFrame, width: int, seed: int) -> Order:
-    """The order of the shingles of all documents. A task gives one sketch, in slices; slices are added up one by one, and 2 ** BITS bytes come to the driver at any size of the corpus."""
-    slices = 64
+    """The order of the shingles of all documents. A task gives its sketches, in slices; slices are added up one by one, and 2 ** BITS + 2 ** WORD_BITS bytes come to the driver at any size of the corpus."""
+    slices = 80
 
     def count(batches):
-        total = np.zeros(2**BITS, np.uint32)
+        total = np.zeros(2**BITS + 2**WORD_BITS, np.uint32)
         for b in batches:
             for text in b.column("text").to_pylist():
                 with np.errstate(over="ignore"):
+                    w, x = in_order(text, width, seed)
                     # shingles are distinct, but some share a counter
-                    np.add.at(total, (shingles(text, width, seed) & U(2**BITS - 1)).astype(np.int64), 1)
+                    np.add.at(total, (np.unique(x) & U(2**BITS - 1)).astype(np.int64), 1)
+                    np.add.at(total, (w & U(2**WORD_BITS - 1)).astype(np.int64) + 2**BITS, 1)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in total.reshape(slices, -1)], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, slices)], pa.binary())], names=["slice", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -161,8 +177,8 @@ def counted_order(docs: DataFrame, width: int, seed: int) -> Order:
 
     dealt = docs.where("text is not null").select("text").mapInArrow(count, "slice int, counts binary").repartition("slice")
     rows = sorted(dealt.mapInArrow(add, "slice int, levels binary, total long").collect(), key=lambda r: r.slice)
-    level = np.concatenate([np.frombuffer(r.levels, np.uint8) for r in rows]) if rows else np.zeros(2**BITS, np.uint8)
-    return Order(level, sum(r.total for r in rows) / 2**BITS)
+    level = np.concatenate([np.frombuffer(r.levels, np.uint8) for r in rows]) if rows else np.zeros(2**BITS + 2**WORD_BITS, np.uint8)
+    return Order(level[: 2**BITS], sum(r.total for r in rows if r.slice < slices * 2**BITS // (2**BITS + 2**WORD_BITS)) / 2**BITS, level[2**BITS :])
 
 
 def chosen_boundary(docs: DataFrame, jaccard: float, width: int, seed: int, order: Order) -> int:
@@ -173,9 +189,9 @@ def chosen_boundary(docs: DataFrame, jaccard: float, width: int, seed: int, orde
             rows = []
             for text in b.column("text").to_pylist():
                 with np.errstate(over="ignore"):
-                    x = shingles(text, width, seed)
+                    x, weight = weighed(text, width, seed, order)
                 if 0 < len(x) <= 30:
-                    rows.append((len(x), float(np.maximum(order.counts(lists_of(x, jaccard, order)) - order.usual - 1, 0).sum())))
+                    rows.append((len(x), float(np.maximum(order.counts(lists_of(x, jaccard, order, weight)) - order.usual - 1, 0).sum())))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.float64())], names=["size", "scanned"])
 
     # thirty shingles have thirty words and more, which may be of any length, but few texts beyond this are so short of words
@@ -196,14 +212,14 @@ def keyed_documents(docs: DataFrame, jaccard: float, width: int, light: int, see
                     b = whole.slice(at, 1024)
                     sizes, key, check, bits, keys, pieces = [], [], [], [], [], []
                     for text in b.column("text").to_pylist():
-                        x = shingles(text, width, seed) if text is not None else np.zeros(0, U)
+                        x, weight = weighed(text, width, seed, order) if text is not None else (np.zeros(0, U), None)
                         d = xxhash.xxh3_128_digest(x.tobytes(), seed)
                         sizes.append(len(x)), key.append(int.from_bytes(d[:8], "big", signed=True)), check.append(int.from_bytes(d[8:], "big", signed=True))
                         if not len(x) or key[-1] in seen:
                             bits.append(None), keys.append(None), pieces.append(None)
                             continue
                         seen.add(key[-1])
-                        k = keys_of(x, jaccard, light, order)
+                        k = keys_of(x, jaccard, light, order, weight)
                         # lists of frequent shingles are cut into pieces; which one is a matter of the set
                         n = np.ceil(order.counts(k) / order.often).astype(np.int64)
                         bits.append(parities(x)), keys.append(k.view(np.int64)), pieces.append(np.where(n > 1, 1 + key[-1] % np.maximum(n, 1), 0).astype(np.int32))
@@ -215,15 +231,15 @@ def keyed_documents(docs: DataFrame, jaccard: float, width: int, light: int, see
 
 
 def scanned_lists(lists: DataFrame, jaccard: float, short: int) -> DataFrame:
-    """a, b, tied: candidate pairs (tied false) and ties of long lists (true). Input: key, piece, set_key, size.
+    """a, b, tied: candidate pairs (tied false), and sets of long lists with the list's key (true). Input: key, piece, set_key, size.
 
-    Rows of a key and piece come one after another, a list is never held beyond `short` rows and a batch. Ties of a piece lead to its first set, and from there to the key itself.
+    Rows of a key and piece come one after another, a list is never held beyond `short` rows and a batch. All pieces of a key make one list.
     """
 
     def work(batches):
         num = round(jaccard * 100)
         held = [np.zeros(0, np.int64)] * 4  # key, piece, set_key, size of the list at the end of the last batch
-        hub: tuple[int, int, int] | None = None  # key, piece and first set of that list, if it is long already
+        hub: tuple[int, int] | None = None  # key and piece of that list, if it is long already
 
         def scan(key, piece, who, size, closed: bool):
             nonlocal held, hub
@@ -235,22 +251,19 @@ def scanned_lists(lists: DataFrame, jaccard: float, short: int) -> DataFrame:
             starts = np.flatnonzero(fresh)
             length = np.diff(np.append(starts, len(key)))
             group = np.repeat(np.arange(len(starts)), length)
-            first = who[starts]
             long = (length > short) | (piece[starts] > 0)
-            if hub and len(starts) and (int(key[0]), int(piece[0])) == hub[:2]:
-                first[0], long[0] = hub[2], True
+            if hub and len(starts) and (int(key[0]), int(piece[0])) == hub:
+                long[0] = True
             if not closed and len(starts):
-                # the last list goes on: a short one waits, of a long one only its first set is remembered
+                # the last list goes on: a short one waits, of a long one only its key is remembered
                 last = len(starts) - 1
-                hub = (int(key[-1]), int(piece[-1]), int(first[last])) if long[last] else None
+                hub = (int(key[-1]), int(piece[-1])) if long[last] else None
                 keep = slice(0, len(key)) if long[last] else slice(0, int(starts[last]))
                 held = [np.zeros(0, np.int64)] * 4 if long[last] else [z[int(starts[last]) :] for z in (key, piece, who, size)]
                 key, piece, who, size, group = (z[keep] for z in (key, piece, who, size, group))
             a, b, tied = [], [], []
-            tie = long[group] & (who != first[group])
-            a.append(who[tie]), b.append(first[group][tie]), tied.append(np.ones(int(tie.sum()), bool))
-            cut_up = np.flatnonzero(piece[starts[starts < len(key)]] > 0)
-            a.append(first[cut_up]), b.append(key[starts[cut_up]]), tied.append(np.ones(len(cut_up), bool))
+            tie = long[group]
+            a.append(who[tie]), b.append(key[tie]), tied.append(np.ones(int(tie.sum()), bool))
             for step in range(1, short):
                 i = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else np.zeros(0, np.int64)
                 if not len(i):
@@ -277,6 +290,70 @@ def scanned_lists(lists: DataFrame, jaccard: float, short: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long, tied boolean")
 
 
+def alike(sizes: np.ndarray, bits: list[np.ndarray], sides: np.ndarray, jaccard: float, room: int = 4_000_000) -> np.ndarray:
+    """Of each set the smallest place that it is connected to by pairs that agree in size and pass the test on parity bits: those between the two sides, or all if there is one side."""
+    hundredths, n = round(jaccard * 100), len(sizes)
+    label, two = np.arange(n), len(np.unique(sides)) > 1
+    width = np.array([len(x) for x in bits])
+    rows = {m: (at := np.flatnonzero(width == m))[np.argsort(sizes[at], kind="stable")] for m in np.unique(width).tolist()}
+    table = {m: np.stack([bits[i] for i in at]).view(U) for m, at in rows.items()}
+    for m, at in rows.items():
+        # partners are no larger: of equally many bits, or of half as many, to which these are folded
+        for k, own in ((m, table[m]), (m // 2, table[m][:, : m // 2] ^ table[m][:, m // 2 :])):
+            if k not in rows:
+                continue
+            there, start = rows[k], 0
+            while start < len(at):
+                low = int(np.searchsorted(sizes[there], math.ceil(sizes[at[start]] * jaccard - 1e-9)))
+                stop = min(len(at), start + max(1, room // (k * max(1, len(there) - low))))
+                high = int(np.searchsorted(sizes[there], sizes[at[stop - 1]], "right"))
+                i, j = at[start:stop, None], there[None, low:high]
+                apart = np.bitwise_count(own[start:stop, None, :] ^ table[k][None, low:high, :]).sum(axis=2, dtype=np.int64)
+                both = sizes[i] + sizes[j]
+                near = (apart * (100 + hundredths) <= both * (100 - hundredths)) & (label[i] != label[j])
+                if two:
+                    near &= sides[i] != sides[j]
+                x, y = np.nonzero(near)
+                if len(x):
+                    label = smallest_reachable(label[at[start + x]], label[there[low + y]], n)[label]
+                start = stop
+    return label
+
+
+def tested_lists(members: DataFrame, bits: DataFrame, jaccard: float, words_per_tile: int) -> DataFrame:
+    """a, b: ties of the sets of long lists that pass the test on parity bits. Input: set_key, component (the list's key); set_key, bits, size."""
+    # a passage that many texts hold gives one list per shingle, with the same sets: it is tested once
+    digest = members.groupBy("component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("set_key", F.lit(2))).alias("y"))
+    once = digest.groupBy("n", "x", "y").agg(F.min("component").alias("component")).select("component")
+    lists = cut(members.join(once.hint("merge"), "component").join(bits.select("set_key", "size"), "set_key"), "long")
+    tiles = dealt_tiles(lists, jaccard, words_per_tile, F.greatest("size", F.lit(512)))
+    dealt = tiles.hint("merge").join(bits, tiles.id == bits.set_key).select(F.xxhash64("tile").alias("place"), "tile", "side", "id", "bits", "size").repartition("place").sortWithinPartitions("place", "tile")
+
+    def work(batches):
+        tile, held = None, []
+
+        def done():
+            ids, sizes, bits, sides = zip(*held, strict=True)
+            ids, label = np.array(ids), alike(np.array(sizes), list(bits), np.array(sides), jaccard)
+            moved = label != np.arange(len(ids))
+            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
+
+        for b in batches:
+            column = b.column("bits")
+            maps, ends = column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
+            rows = zip(*(b.column(c).to_pylist() for c in ("tile", "id", "size", "side")), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            for t, i, size, side, low, high in rows:
+                if t != tile:
+                    if len(held) > 1:
+                        yield done()
+                    tile, held = t, []
+                held.append((i, size, maps[low:high], side))
+        if len(held) > 1:
+            yield done()
+
+    return dealt.mapInArrow(work, "a long, b long")
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -376,7 +453,8 @@ def linked_documents(docs: DataFrame, jaccard: float, width: int, words_per_tile
     hundredths = round(jaccard * 100)
     near = apart * (100 + hundredths) <= (F.col("a_size") + F.col("b_size")) * (100 - hundredths)
     pairs = found.where("not tied").select("a", "b").join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(near).select("a", "b")
-    clusters = cut(components(pairs.unionByName(found.where("tied").select("a", "b")), label="clusters"), "clusters").withColumnRenamed("id", "set_key")
+    ties = tested_lists(found.where("tied").select(F.col("a").alias("set_key"), F.col("b").alias("component")), bits, jaccard, 4 * words_per_tile)
+    clusters = cut(components(pairs.unionByName(ties), label="clusters"), "clusters").withColumnRenamed("id", "set_key")
     members = cut(clusters.join(classes.select("set_key", "first", "size"), "set_key"), "members")
     tiles = dealt_tiles(members, jaccard, words_per_tile)
     texts = _texts(docs, members)
@@ -385,11 +463,11 @@ def linked_documents(docs: DataFrame, jaccard: float, width: int, words_per_tile
     return keyed, classes.select("set_key", "first").join(components(links, label="near").withColumnRenamed("id", "set_key"), "set_key", "left").select("set_key", "first", F.coalesce("component", "set_key").alias("component"))
 
 
-def dealt_tiles(members: DataFrame, jaccard: float, words_per_tile: int) -> DataFrame:
+def dealt_tiles(members: DataFrame, jaccard: float, words_per_tile: int, weight: Column | None = None) -> DataFrame:
     """id, tile, side of the sets of clusters. A small cluster is one tile. A large one is cut by size into bands, such that linked sets are in one band or in neighbouring ones, and a large
-    band by hash into chunks; two chunks of a band, or of neighbouring bands, make a tile. So a set goes to about three times as many tiles as its band has chunks."""
+    band by hash into chunks; two chunks of a band, or of neighbouring bands, make a tile. So a set goes to about three times as many tiles as its band has chunks. weight: what counts as a set's words (none: its size)."""
     large = F.sum("size").over(Window.partitionBy("component")) * 2 > words_per_tile
-    sums = members.withColumn("band", F.floor(F.log("size") / (math.log(1 / jaccard) * (1 + 1e-9)))).groupBy("component", "band").agg(F.sum("size").alias("size"))
+    sums = members.withColumn("band", F.floor(F.log("size") / (math.log(1 / jaccard) * (1 + 1e-9)))).groupBy("component", "band").agg(F.sum("size" if weight is None else weight).alias("size"))
     sums = sums.withColumn("large", large)
     chunks = F.when(F.col("large"), F.ceil(2 * F.col("size") / words_per_tile)).otherwise(1).cast("int")
     near = Window.partitionBy("component").orderBy("band")

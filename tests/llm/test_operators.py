@@ -467,6 +467,61 @@ def test_frequent_keys_are_cut_into_pieces(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.join_documents(d, short=4).collect()} == root
 
 
+def test_long_lists_tie_what_is_alike_alone(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows, common_part = [], words(rnd, 8)
+    for i in range(40):
+        # all share a passage of rare words, every fifth is nearly the one before it
+        base = words(rnd, 80) if i % 5 else base[:-1] + [f"e{i}"] if i else words(rnd, 80)
+        rows.append((i, " ".join(base[:40] + common_part + base[40:])) if i % 5 else (i, rows[-1][1] + f" e{i}" if rows else " ".join(base)))
+    s = shingle_sets(rows, 3)
+    links = [(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 90 * len(s[a] | s[b])]
+    assert len(links) == 7
+    root, fetched, whole = components_of(list(s), links), [], ngram_join._texts
+
+    def texts(docs, members):
+        fetched.append(members.count())
+        return whole(docs, members)
+
+    # an order that puts the passage first
+    monkeypatch.setattr(ngram_join.Order, "first", lambda self, x, n, weight=None: x[np.argsort(~np.isin(x, passage), kind="stable")[:n]])
+    with np.errstate(over="ignore"):
+        passage = ngram_join.shingles(" ".join(common_part), 3, 7)
+    monkeypatch.setattr(ngram_join, "_texts", texts)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (2_000_000, 500):
+        assert {r.doc_id: r.component_id for r in ngram_join.join_documents(d, short=4, words_per_tile=size).collect()} == root
+    # texts come together for near copies, not for all that share the passage
+    assert fetched == [14, 14]
+
+
+def test_alike_sets_of_unequal_bits():
+    rng = np.random.default_rng(3)
+    with np.errstate(over="ignore"):
+        for jaccard in (0.9, 0.8):
+            base = [ngram_join.mixed(rng.integers(1, 2**40, int(n)).astype(np.uint64)) for n in rng.integers(400, 1200, 40)]
+            sets = [np.unique(x[k * len(x) // 40 :]) for x in base for k in range(3)]
+            links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 100 * (n := len(np.intersect1d(x, y))) >= round(100 * jaccard) * (len(x) + len(y) - n)]
+            root = components_of(range(len(sets)), links)
+            for sides in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+                label = ngram_join.alike(np.array([len(x) for x in sets]), [ngram_join.parities(x) for x in sets], sides, jaccard, 2000)
+                assert all(label[i] == label[j] for i, j in links if sides[i] != sides[j] or not sides.any())
+                assert sides.any() or label.tolist() == [root[i] for i in range(len(sets))]
+
+
+def test_order_tells_rare_words_where_counters_are_full():
+    rng, common, rare = np.random.default_rng(2), "a b c d e f", "u v w x y z"
+    with np.errstate(over="ignore"):
+        w, _ = ngram_join.in_order(common, 3)
+        words = np.zeros(2**ngram_join.WORD_BITS, np.uint8)
+        words[(w & np.uint64(2**ngram_join.WORD_BITS - 1)).astype(int)] = 90
+        order = ngram_join.Order((52 + rng.integers(-2, 3, 2**ngram_join.BITS)).astype(np.uint8), 400.0, words)
+        x, weight = ngram_join.weighed(f"{common} {rare}", 3, 0, order)
+        assert np.array_equal(x, ngram_join.shingles(f"{common} {rare}", 3))
+        assert set(order.first(x, 4, weight)) == set(ngram_join.shingles(rare, 3))
+        assert [len(z) for z in ngram_join.weighed("", 3, 0, order)] == [0, 0] and ngram_join.weighed("a b", 3, 0, order)[1].tolist() == [0]
+
+
 def test_light_boundary_follows_cost():
     few, many = {2: 1000}, {s: 1000 for s in range(2, 31)}
     # lists that hold nothing else cost less than subsets; crowded ones cost more
