@@ -38,6 +38,8 @@ from cohortica.llm.common import components, cut, smallest_reachable
 U = np.uint64
 #: Counters of the sketches of frequencies, of shingles and of words, as powers of two.
 BITS, WORD_BITS = 22, 20
+#: Bits of a bitmap of keys, as a power of two.
+MARKS = 25
 GOLD, M1, M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 
@@ -290,7 +292,7 @@ def scanned_lists(lists: DataFrame, jaccard: float, short: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long, tied boolean")
 
 
-def alike(sizes: np.ndarray, bits: list[np.ndarray], sides: np.ndarray, jaccard: float, room: int = 4_000_000) -> np.ndarray:
+def alike(sizes: np.ndarray, bits: list[np.ndarray], sides: np.ndarray, jaccard: float, room: int = 500_000) -> np.ndarray:
     """Of each set the smallest place that it is connected to by pairs that agree in size and pass the test on parity bits: those between the two sides, or all if there is one side."""
     hundredths, n = round(jaccard * 100), len(sizes)
     label, two = np.arange(n), len(np.unique(sides)) > 1
@@ -484,10 +486,46 @@ def dealt_tiles(members: DataFrame, jaccard: float, words_per_tile: int, weight:
     return m.select("id", F.explode(F.concat(own, up, down)).alias("t")).select("id", "t.tile", "t.side")
 
 
+def marked(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of 2 ** MARKS bits with those of the keys set: 4 MB come to the driver at any size of the corpus."""
+    slices = 64
+
+    def work(batches):
+        maps: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = (b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(U) & U(2**MARKS - 1)).astype(np.int64)
+            part = at * slices >> MARKS
+            for k in np.unique(part).tolist():
+                maps.setdefault(k, np.zeros(2**MARKS // slices, bool))[at[part == k] - k * (2**MARKS // slices)] = True
+        if maps:
+            yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(x).tobytes() for x in maps.values()], pa.binary())], names=["slice", "bits"])
+
+    keys = keys.select(F.col(column).alias("key")).where("key is not null")
+    bits = np.zeros((slices, 2**MARKS // slices // 8), np.uint8)
+    # what falls on a slice comes together, so each slice is sent once
+    place = F.shiftright(F.col("key").bitwiseAND(F.lit(2**MARKS - 1)) * slices, MARKS)
+    for r in keys.withColumn("part", place).repartition("part").select("key").mapInArrow(work, "slice int, bits binary").collect():
+        bits[r["slice"]] |= np.frombuffer(r.bits, np.uint8)
+    return bits.reshape(-1)
+
+
+def divided(rows: DataFrame, column: str, bits: np.ndarray, hit: bool) -> DataFrame:
+    """The rows whose key may be one of those marked, a few others among them (hit), or those whose key is certainly none: what is left out is not shuffled."""
+
+    @F.arrow_udf("boolean")
+    def found(key: pa.Array) -> pa.Array:
+        at = key.to_numpy(zero_copy_only=False).astype(np.int64).view(U) & U(2**MARKS - 1)
+        return pa.array((bits[(at >> U(3)).astype(np.int64)] >> (U(7) - (at & U(7))).astype(np.uint8)) & 1 == 1)
+
+    # keys alone go to Python, texts do not
+    return rows.where(found(F.col(column)) == F.lit(hit))
+
+
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """t_set, text: the text of each set's first document, once."""
     wanted = members.select(F.col("set_key").alias("t_set"), F.col("first.doc_id").alias("t_id"), F.col("first.text_key").alias("t_key"))
     d = docs.where("text is not null").withColumn("text_key", F.xxhash64("text"))
+    d = divided(d, "text_key", marked(wanted, "t_key"), True)
     # a merge join at every size: what is wanted grows with the corpus, so it is never broadcast
     found = d.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_key") == F.col("t_key")))
     return found.select("t_set", "text").dropDuplicates(["t_set"])
@@ -504,10 +542,15 @@ def join_documents(docs: DataFrame, jaccard: float = 0.9, width: int = 3, words_
 def keep_one(docs: DataFrame, jaccard: float = 0.8, width: int = 5, words_per_tile: int = 2_000_000, seed: int = 7, light: int | None = None, short: int = 16) -> DataFrame:
     """One row of each component: its smallest doc_id (null last), of rows that share it the smallest text key, of equal ones the smallest in the other columns. Documents without words stay. Columns as in docs; they must be orderable."""
     keyed, sets = linked_documents(docs, jaccard, width, words_per_tile, seed, light, short)
-    winners = sets.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.text_key").alias("k_key"))
+    winners = cut(sets.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.text_key").alias("k_key")), "winners")
     others = [c for c in docs.columns if c != "text"]
-    d = docs.withColumn("k_text", F.xxhash64("text"))
-    kept = d.join(winners.hint("merge"), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_key")))
+    # texts of rows that go, or that share text and id with another row; all other rows stay as they are, and their texts are not shuffled
+    rows = keyed.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    rows = rows.join(winners.hint("merge"), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_key")), "left")
+    bits = marked(rows.where("n > 1 or k_key is null"), "text_key")
+    some = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("k_text", F.xxhash64("text"))
+    clear = divided(some, "k_text", bits, False).select(*docs.columns)
+    kept = divided(some, "k_text", bits, True).join(winners.hint("merge"), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_key")))
     kept = kept.groupBy("k_id", "k_key").agg(F.min(F.struct(*others)).alias("row"), F.first("text").alias("text")).select("row.*", "text").select(*docs.columns)
-    bare = docs.where(F.coalesce(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), F.lit("")) == "")
-    return kept.unionByName(bare)
+    bare = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return clear.unionByName(kept).unionByName(bare)

@@ -420,6 +420,28 @@ def test_ngram_join_with_null_ids_and_repeated_rows(spark):
     assert ngram_join.keep_one(twice.where("false")).count() == 0
 
 
+def test_texts_that_stay_alone_are_not_shuffled(spark, monkeypatch):
+    rnd = random.Random(21)
+    texts = [" ".join(words(rnd, 40)) for _ in range(60)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(100 + i, texts[i], "y") for i in range(0, 60, 6)] + [(3, texts[3], "w"), (200, texts[1] + " e", "z"), (None, texts[1], "n"), (201, " \t\n", "b"), (202, None, "b"), (203, "\u00a0", "u")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    met, whole = [], ngram_join.divided
+
+    def divided(rows, column, bits, hit):
+        found = whole(rows, column, bits, hit)
+        met.append((hit, found.count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "divided", divided)
+    # with few bits some of the others are met as well, and are right too
+    for marks, most in ((25, 25), (9, 80)):
+        monkeypatch.setattr(ngram_join, "MARKS", marks)
+        met.clear()
+        kept = sorted(((r.doc_id, r.text, r.source) for r in ngram_join.keep_one(d).collect()), key=str)
+        assert kept == sorted([(i, t, "w" if i == 3 else "x") for i, t in enumerate(texts)] + [(201, " \t\n", "b"), (202, None, "b"), (203, "\u00a0", "u")], key=str)
+        assert all(n <= most for hit, n in met if hit) and sum(n for _, n in met[1:]) == 74 and len(met) == 3
+
+
 def test_light_sets_link_through_subsets(spark, monkeypatch):
     rnd = random.Random(6)
     rows = []
